@@ -23,7 +23,7 @@ def _c(c) -> Column:
 
 def parse_date(c, fmt: str = "yyyy-MM-dd", strict: bool = False) -> Column:
     """SF1: text to DATE.  Lenient by default (bad text -> NULL); ``strict`` raises like pandas."""
-    return F.to_date(_c(c), fmt) if strict else F.try_to_date(_c(c), F.lit(fmt))
+    return F.to_date(_c(c), fmt) if strict else F.try_to_date(_c(c), fmt)
 
 
 def whole_years(end, start) -> Column:

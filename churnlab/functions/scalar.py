@@ -70,4 +70,4 @@ def clamp(c, lo: float = 0.0, hi: float = 1.0) -> Column:
 def bar_label(c, digits: int = 1) -> Column:
     """SF14: bar annotation text: value rounded to one decimal; NULL where it reads '0.0'."""
     txt = F.format_string(f"%.{digits}f", F.bround(_c(c), digits))
-    return F.when(txt != F.lit("0." + "0" * digits), txt)
+    return F.when(_c(c).isNotNull() & (txt != F.lit("0." + "0" * digits)), txt)
