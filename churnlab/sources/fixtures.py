@@ -153,12 +153,20 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 
 SQL_CUST_CHURN = "SELECT c.*, f.churn FROM customers c JOIN churn f ON c.id = f.id"
 
+SQL_SCORED = """
+SELECT o_orderkey AS id, label, CAST(40 * label + (o_orderkey * 37) % 101 AS DOUBLE) / CAST(141 AS DOUBLE) AS score,
+       CASE WHEN CAST(40 * label + (o_orderkey * 37) % 101 AS DOUBLE) / CAST(141 AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END
+       AS prediction
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders)
+"""
+
 _CTES = {
     "contract": (SQL_CONTRACT, ()),
     "customers": (SQL_CUSTOMERS, ("contract",)),
     "churn": (SQL_CHURN, ("contract",)),
     "cust_churn": (SQL_CUST_CHURN, ("customers", "churn")),
     "prices": (SQL_PRICES, ()),
+    "scored": (SQL_SCORED, ()),
 }
 
 
@@ -183,6 +191,19 @@ def with_ctes(sql: str, *names: str) -> str:
     return f"WITH {body}\n{sql}"
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier-output stand-in for the metric operators: (id, label, score, prediction).
+
+    label = order status 'F'; score = (40 * label + pmod(37 * orderkey, 101)) / 141,
+    an informative but imperfect score with many ties; prediction = score >= 0.5.
+    """
+    o = table(spark, sf_dir, "orders")
+    label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    base = o.select(F.col("o_orderkey").alias("id"), label.alias("label"))
+    score = (F.lit(40) * F.col("label") + F.pmod(F.col("id") * 37, F.lit(101))).cast("double") / F.lit(141.0)
+    return base.withColumn("score", score).withColumn("prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def cust_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers joined to their churn flag (JO1 on the stand-ins)."""
     from churnlab.operators.joins import join_churn
