@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -71,3 +72,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables/models inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "churnlab", name)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet into the shared checkpoint folder and read it back.
+
+    Used at stage boundaries of long flows: each one-row-statistics step
+    references its input twice, so an unbroken chain of k such steps would
+    re-scan the sources about 2^k times.  A parquet stage keeps column
+    pruning and predicate pushdown for the readers, lives on shared storage
+    (a lost executor does not lose it - unlike a cache) and cuts the lineage.
+    """
+    path = shared_path(df.sparkSession, f"stages/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
