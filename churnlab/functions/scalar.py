@@ -63,8 +63,8 @@ def zscore_frame(df: DataFrame, col: str, out: str = "zscore") -> DataFrame:
 
 
 def clamp(c, lo: float = 0.0, hi: float = 1.0) -> Column:
-    """SF12: clamp into [lo, hi]."""
-    return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
+    """SF12: clamp into [lo, hi]; NULL stays NULL (``greatest``/``least`` alone would skip it)."""
+    return F.when(_c(c).isNotNull(), F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi)))
 
 
 def bar_label(c, digits: int = 1) -> Column:

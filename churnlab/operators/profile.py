@@ -141,8 +141,10 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
     vx = F.greatest(F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), F.lit(0.0))
     vy = F.greatest(F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n), F.lit(0.0))
-    r = F.when((n >= 2) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-    g = g.select("i", "j", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("r"))
+    # clamp rounding overshoot to [-1, 1]; greatest/least skip NULLs, so guard them
+    ok = (n >= 2) & (vx > 0) & (vy > 0)
+    r = F.when(ok, F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0)))
+    g = g.select("i", "j", r.alias("r"))
     mirrored = g.unionByName(g.where(F.col("i") != F.col("j"))
                               .select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
     names = F.array(*[F.lit(c) for c in cols])
