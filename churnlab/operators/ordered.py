@@ -36,13 +36,15 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
                 sum_cols: Sequence[str], prefix: str = "cum_", partitions: int | None = None,
-                exclusive: bool = False) -> DataFrame:
+                exclusive: bool = False, totals_prefix: str | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` per group in ``order`` (inclusive unless ``exclusive``).
 
     ``order`` must be a total order within a group (add a unique tie-break)
     for the running sum to be well defined row by row.  Group columns must be
     non-null.  Intended for few groups (classes, column names); many small
-    groups are better served by an ordinary partitioned window.
+    groups are better served by an ordinary partitioned window.  With
+    ``totals_prefix`` every row also gets its group's grand totals (taken
+    from the small offsets table, no extra pass).
     """
     groups = list(group_cols)
     n = _num_partitions(df, partitions)
@@ -63,6 +65,11 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     w_off = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *groups, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0))
                                                .alias(f"_o_{c}") for c in sum_cols])
+    if totals_prefix:
+        w_all = Window.partitionBy(*groups)
+        offsets = offsets.join(totals.select("_pid", *groups, *[F.sum(f"_t_{c}").over(w_all)
+                                                               .alias(f"{totals_prefix}{c}") for c in sum_cols]),
+                               ["_pid", *groups])
     # offsets has at most partitions + groups rows (range partitions are
     # contiguous in (group, order)), a bound fixed by the caller's few groups
     out = local.join(F.broadcast(offsets), ["_pid", *groups])
@@ -101,9 +108,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     vc = value_counts(df, columns)
-    n = vc.groupBy("column").agg(F.sum("cnt").alias("_n"))
-    cum = prefix_sums(vc, ["column"], [F.col("value")], ["cnt"], partitions=partitions)
-    j = cum.join(F.broadcast(n), "column")  # one row per input column
+    j = prefix_sums(vc, ["column"], [F.col("value")], ["cnt"], partitions=partitions, totals_prefix="_n_")
+    j = j.withColumnRenamed("_n_cnt", "_n")
     aggs = []
     for p, nm in zip(probs, names):
         r = (F.col("_n") - 1) * F.lit(float(p))
