@@ -124,6 +124,14 @@ def log_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return negatives_to_null(df, columns).withColumns({c: S.log10p1(c) for c in columns})
 
 
+def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> DataFrame:
+    """FE8 evidence: pairs (a before b) whose |Pearson r| exceeds ``threshold``."""
+    cols = list(columns)
+    pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+    c = correlation(df, cols)
+    return c.where((pos[F.col("a")] < pos[F.col("b")]) & (F.abs(F.col("r")) > threshold))
+
+
 def correlated_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.9) -> list[str]:
     """FE8 helper: for each pair with |r| > threshold, the later column (one aggregation,
     a columns x columns matrix to the driver)."""

@@ -102,7 +102,17 @@ def fe7_log_features(spark, sf):
 
 @register("fe8_drop_correlated")
 def fe8_drop_correlated(spark, sf):
-    """Drops the later column of each pair with |r| > 0.9 (decided from one correlation aggregation)."""
+    """Drops the later column of each pair with |r| > 0.8 (decided from one correlation aggregation)."""
     cc = fx.cust_churn(spark, sf)
     num = ["cons_12m", "nb_prod_act", "cons_last_month", "imp_cons", "margin_net_pow_ele", "net_margin"]
-    return features.drop_correlated(cc, num, threshold=0.9)
+    return features.drop_correlated(cc, num, threshold=0.8)
+
+
+_NUM = ["cons_12m", "nb_prod_act", "cons_last_month", "imp_cons", "margin_net_pow_ele", "net_margin"]
+
+
+@register("fe8_correlated_pairs", "SELECT a, b, r FROM (" + " UNION ALL ".join(
+    f"(SELECT '{a}' AS a, '{b}' AS b, CAST(corr({a}, {b}) AS FLOAT) AS r FROM cust_churn)"
+    for i, a in enumerate(_NUM) for b in _NUM[i + 1:]) + ") WHERE abs(r) > 0.45", ("cust_churn",))
+def fe8_correlated_pairs(spark, sf):
+    return f32(features.correlated_pairs(fx.cust_churn(spark, sf), _NUM, 0.45))
