@@ -66,7 +66,7 @@ def negatives_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def replace_outliers_zscore(df: DataFrame, columns: Sequence[str], z: float = 3.0,
-                            null_policy: str = "omit") -> tuple[DataFrame, DataFrame]:
+                            null_policy: str = "omit", report: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """CL6/CL7: z-score outlier and NULL replacement by the inlier mean, all columns at once.
 
     Per column (population statistics throughout):
@@ -84,7 +84,8 @@ def replace_outliers_zscore(df: DataFrame, columns: Sequence[str], z: float = 3.
     ``'propagate'`` reproduces SciPy's default: a column holding any NULL is
     left unchanged (its statistics would all be NaN).
 
-    Returns (cleaned frame, report with per-column n_null, n_outlier, inlier_mean).
+    Returns (cleaned frame, report with per-column n_null, n_outlier, inlier_mean);
+    the report is None with ``report=False``.
     """
     if null_policy not in NULL_POLICIES:
         raise ValueError(f"null_policy must be one of {NULL_POLICIES}")
@@ -124,6 +125,8 @@ def replace_outliers_zscore(df: DataFrame, columns: Sequence[str], z: float = 3.
         new[c] = F.when(F.col(f"_keep_{i}"), F.col(c)).otherwise(cleaned)
     helper = [f"_{k}_{i}" for i in range(len(cols)) for k in ("n1", "N", "mu1", "sd1", "m", "mu2", "sd2", "keep")]
     cleaned_df = out.withColumns(new).drop(*helper)
+    if not report:
+        return cleaned_df, None
 
     # report: the reference prints the NULL count (CL7) or the outlier count (CL6); both are given
     rep_src = with_stats(df.select(*cols), s)
@@ -135,8 +138,7 @@ def replace_outliers_zscore(df: DataFrame, columns: Sequence[str], z: float = 3.
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"_nn_{i}").alias("n_null"),
                         F.col(f"_no_{i}").alias("n_outlier"), F.col(f"_im_{i}").alias("inlier_mean"))
                for i, c in enumerate(cols)]
-    report = rep.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
-    return cleaned_df, report
+    return cleaned_df, rep.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
 
 
 def iqr_fences(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:

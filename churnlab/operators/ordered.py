@@ -5,7 +5,7 @@ row into one task.  The helpers here keep such work distributed:
 
 * ``prefix_sums`` - exact running totals in a global order (optionally per a
   few coarse groups such as a class label or a column name).  Rows are
-  range-partitioned on (group, order) and checkpointed; each range partition
+  range-partitioned on (group, order) and materialized; each range partition
   computes local running sums, and per-(partition, group) totals - a table
   of at most partitions + groups rows - give every partition its starting
   offset.  A hot group simply spans several range partitions.
@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.session import ensure_checkpoint_dir
+from churnlab.session import materialize
 
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
@@ -53,10 +53,9 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     # The range bounds come from a sample whose rows depend on arrival order,
     # and the two uses below prune columns differently (so Spark would not
     # reuse one exchange): without materialising, each use could see other
-    # bounds.  A reliable checkpoint in the shared folder fixes the partition
-    # ids once and also survives lost executors (a cache would be recomputed).
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True)
+    # bounds.  A parquet stage in the shared checkpoint folder fixes the
+    # partition ids once and survives lost executors (a cache would be recomputed).
+    ranged = materialize(ranged, "prefix_ranges")
     frame = Window.unboundedPreceding
     upto = -1 if exclusive else Window.currentRow
     w_local = Window.partitionBy("_pid", *groups).orderBy(*order).rowsBetween(frame, upto)

@@ -45,8 +45,11 @@ def stratified_folds(df: DataFrame, label: str, key_cols: Sequence[str], k: int
     numbered; fold = (row number - 1) mod k, so every fold gets the same
     share of each class (to within one row).  The numbering uses
     ``ordered.row_numbers``: a class holding most rows is still spread over
-    many tasks.
+    many tasks.  Keys must identify rows (the fold table is joined back on them).
     """
-    keyed = df.withColumn("_h", key_hash(key_cols, seed))
-    rn = ordered.row_numbers(keyed, [label], [F.col("_h"), *[F.col(c) for c in key_cols]], "_rn")
-    return rn.withColumn(col, ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
+    keys = list(key_cols)
+    narrow = df.select(*keys, label).withColumn("_h", key_hash(keys, seed))
+    rn = ordered.row_numbers(narrow, [label], [F.col("_h"), *[F.col(c) for c in keys]], "_rn")
+    folds = rn.select(*keys, ((F.col("_rn") - 1) % k).cast("int").alias(col))
+    # numbering runs on the narrow key projection; the wide rows meet it in one equi-join
+    return df.join(folds, keys, "inner")

@@ -92,7 +92,7 @@ _CL7, _CL7_REP = _zrep_sql("cust_churn", "id", CC_OUT)
 
 @register("cl7_replace_outliers_zscore", _CL7, ("cust_churn",))
 def cl7_replace_outliers_zscore(spark, sf):
-    out, _ = clean.replace_outliers_zscore(fx.cust_churn(spark, sf).select("id", *CC_OUT), CC_OUT)
+    out, _ = clean.replace_outliers_zscore(fx.cust_churn(spark, sf).select("id", *CC_OUT), CC_OUT, report=False)
     return f32(out)
 
 
@@ -113,7 +113,8 @@ FROM cust_churn, s2, s3
 def cl7_replace_outliers_propagate(spark, sf):
     """'propagate': cons_last_month has NULLs, so it stays untouched; imp_cons has none and is cleaned."""
     df = fx.cust_churn(spark, sf).select("id", "cons_last_month", "imp_cons")
-    out, _ = clean.replace_outliers_zscore(df, ["cons_last_month", "imp_cons"], null_policy="propagate")
+    out, _ = clean.replace_outliers_zscore(df, ["cons_last_month", "imp_cons"], null_policy="propagate",
+                                           report=False)
     return f32(out)
 
 
@@ -126,7 +127,7 @@ _CL6, _ = _zrep_sql("feats", "id", FEATS)
 @register("cl6_replace_outliers_price_features", f"WITH feats AS ({_FE1_YEAR_P}),\n" + _CL6[5:], ("prices",))
 def cl6_replace_outliers_price_features(spark, sf):
     feats = features.price_window_means(fx.prices(spark, sf), PM, windows={"year": None}, pairs=PAIRS)
-    out, _ = clean.replace_outliers_zscore(feats, [c for c in feats.columns if c != "id"])
+    out, _ = clean.replace_outliers_zscore(feats, [c for c in feats.columns if c != "id"], report=False)
     return f32(out)
 
 
