@@ -99,7 +99,7 @@ def replace_outliers_zscore(df: DataFrame, columns: Sequence[str], z: float = 3.
         return F.try_divide(F.col(c) - F.col(f"_mu1_{i}"), F.col(f"_sd1_{i}"))
 
     s2 = with1.agg(*[F.avg(F.when(F.abs(z1(i, c)) < z, F.col(c))).alias(f"_m_{i}") for i, c in enumerate(cols)])
-    s12 = s1.crossJoin(F.broadcast(s2))  # both one row
+    s12 = with_stats(s1, s2)  # both one row
 
     stats = []
     for i, _ in enumerate(cols):

@@ -1,10 +1,10 @@
 """Joins (JO1-JO4) and the size-checked broadcast used across the library.
 
-Broadcast rule: a side is broadcast only when its size is proven - either it
-is a global aggregate (exactly one row) or a bounded probe
-(``limit(max_rows + 1).count()``) shows it fits.  Otherwise the join stays a
+Broadcast rule: a side is broadcast only when its size is proven by a
+bounded probe (``limit(max_rows + 1).count()``); otherwise the join stays a
 shuffle join and adaptive execution may still switch it at run time from
-measured shuffle sizes.
+measured shuffle sizes.  One-row statistics (global aggregates) are not
+joined at all: they enter as scalar subqueries (``with_stats``).
 """
 
 from __future__ import annotations
@@ -25,14 +25,17 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global (ungrouped) aggregate as broadcast: it has exactly one row."""
-    return F.broadcast(df)
+def with_stats(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
+    """Attach the columns of a one-row statistics frame (a global aggregate) to every row.
 
-
-def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row statistics frame to every row (broadcast, no shuffle)."""
-    return df.crossJoin(one_row(stats))
+    The row is packed into one struct and referenced as a single scalar
+    subquery: Spark computes the aggregate once and uses it as a constant -
+    no join, no broadcast of a table, and a frame with more than one row
+    fails at run time instead of multiplying rows.
+    """
+    packed = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias(name)).scalar()
+    out = df.withColumn(name, packed)
+    return out.withColumns({c: F.col(name)[c] for c in stats.columns}).drop(name)
 
 
 def _non_null_key(df: DataFrame, key: str) -> DataFrame:

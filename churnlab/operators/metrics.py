@@ -186,6 +186,6 @@ def mean_roc(points: DataFrame, fold_col: str = "fold", n: int = GRID_POINTS) ->
     seg = g.withColumn("_a", (F.col("grid") - F.lag("grid").over(w)) *
                        (F.col("mean_tpr") + F.lag("mean_tpr").over(w)) / 2)
     fold_auc = auc_from_points(points, [fold_col])
-    summary = seg.agg(F.sum("_a").alias("mean_auc")).crossJoin(
-        fold_auc.agg(F.stddev_pop("auc").alias("std_auc"), F.avg("auc").alias("avg_fold_auc")))
+    summary = with_stats(seg.agg(F.sum("_a").alias("mean_auc")),
+                         fold_auc.agg(F.stddev_pop("auc").alias("std_auc"), F.avg("auc").alias("avg_fold_auc")))
     return g.select("k", F.col("grid").alias("fpr"), "mean_tpr", "std_tpr", "tpr_upper", "tpr_lower"), summary

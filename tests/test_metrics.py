@@ -97,3 +97,10 @@ def test_folds_balanced_and_split_share(spark):
     assert {counts[(k, 1)] for k in range(3)} == {100} and {counts[(k, 0)] for k in range(3)} == {900}
     share = splits.train_test_split(df, ["id"]).agg({"is_test": "avg"}).first()[0]
     assert 0.30 < share < 0.36
+
+
+def test_hash_folds_near_balanced(spark):
+    df = spark.createDataFrame([(i, 1 if i % 10 == 0 else 0) for i in range(6000)], "id int, label int")
+    f = splits.stratified_folds(df, "label", ["id"], 3, exact=False)
+    counts = {r["fold"]: r["count"] for r in f.groupBy("fold").count().collect()}
+    assert set(counts) == {0, 1, 2} and all(1800 < c < 2200 for c in counts.values())
