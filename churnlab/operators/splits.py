@@ -38,14 +38,18 @@ def split(df: DataFrame, key_cols: Sequence[str], test_size: float = 0.33, seed:
 
 
 def stratified_folds(df: DataFrame, label: str, key_cols: Sequence[str], k: int = 3, seed: int = 42,
-                     col: str = "fold", exact: bool = True) -> DataFrame:
+                     col: str = "fold", exact: bool = True, unique_keys: bool = False) -> DataFrame:
     """ML10: shuffled stratified k-fold numbering.
 
     Within each class rows are ordered by the key hash (ties by key) and
     numbered; fold = (row number - 1) mod k, so every fold gets the same
     share of each class (to within one row).  The numbering uses
     ``ordered.row_numbers``: a class holding most rows is still spread over
-    many tasks.  Keys must identify rows (the fold table is joined back on them).
+    many tasks.  Rows with equal keys are numbered in arbitrary order among
+    themselves (class counts per fold stay balanced).  With ``unique_keys``
+    (the caller guarantees the keys identify rows) only the narrow key
+    projection is numbered and joined back - cheaper for wide rows; with
+    repeated keys that join would multiply rows, so it is opt-in.
 
     ``exact=False`` assigns fold = hash bucket mod k instead: no numbering, no
     join, no shuffle - each class is split into near-equal (not exactly
@@ -54,8 +58,11 @@ def stratified_folds(df: DataFrame, label: str, key_cols: Sequence[str], k: int
     if not exact:
         return df.withColumn(col, (hash_bucket(list(key_cols), seed, 1 << 30) % k).cast("int"))
     keys = list(key_cols)
+    order = [F.col("_h"), *[F.col(c) for c in keys]]
+    if not unique_keys:
+        rn = ordered.row_numbers(df.withColumn("_h", key_hash(keys, seed)), [label], order, "_rn")
+        return rn.withColumn(col, ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
     narrow = df.select(*keys, label).withColumn("_h", key_hash(keys, seed))
-    rn = ordered.row_numbers(narrow, [label], [F.col("_h"), *[F.col(c) for c in keys]], "_rn")
+    rn = ordered.row_numbers(narrow, [label], order, "_rn")
     folds = rn.select(*keys, ((F.col("_rn") - 1) % k).cast("int").alias(col))
-    # numbering runs on the narrow key projection; the wide rows meet it in one equi-join
     return df.join(folds, keys, "inner")

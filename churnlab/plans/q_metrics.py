@@ -14,7 +14,7 @@ _FOLDS = ("SELECT id, label, score, (row_number() OVER (PARTITION BY label ORDER
 
 
 def _folds(spark, sf):
-    return splits.stratified_folds(fx.scored(spark, sf), "label", ["id"], 3, 42)
+    return splits.stratified_folds(fx.scored(spark, sf), "label", ["id"], 3, 42, unique_keys=True)
 
 
 @register("ml2_hash_split", """

@@ -104,3 +104,14 @@ def test_hash_folds_near_balanced(spark):
     f = splits.stratified_folds(df, "label", ["id"], 3, exact=False)
     counts = {r["fold"]: r["count"] for r in f.groupBy("fold").count().collect()}
     assert set(counts) == {0, 1, 2} and all(1800 < c < 2200 for c in counts.values())
+
+
+def test_folds_with_repeated_keys_keep_every_row(spark):
+    data = [(i // 3, i % 2) for i in range(900)]  # every key three times
+    df = spark.createDataFrame(data, "id int, label int")
+    f = splits.stratified_folds(df, "label", ["id"], 3)
+    assert f.count() == 900
+    counts = {(r["fold"], r["label"]): r["count"] for r in f.groupBy("fold", "label").count().collect()}
+    assert set(counts.values()) == {150}
+    u = splits.stratified_folds(df.dropDuplicates(["id"]), "label", ["id"], 3, unique_keys=True)
+    assert u.count() == 300
