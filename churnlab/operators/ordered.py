@@ -11,8 +11,8 @@ row into one task.  The helpers here keep such work distributed:
   offset.  A hot group simply spans several range partitions.
 * ``exact_quantiles`` - linear-interpolated quantiles (numpy / pandas /
   DuckDB ``quantile_cont``) of many columns at once: value counts per
-  (column, value) with map-side combine, then ``prefix_sums`` over the
-  distinct values and a conditional aggregate that picks the ranks.
+  (column, value) with map-side combine, range partitions with per-partition
+  totals, and a sort of only the partitions that hold the requested ranks.
   No buffer ever holds a whole column.
 * ``modes`` - most frequent value per column, smallest value on ties,
   from a distributed value count and ``min_by``.
@@ -104,11 +104,33 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     Rank r = (n - 1) * p over the non-null values; result is
     v[floor r] + (v[ceil r] - v[floor r]) * (r - floor r).  Columns with no
     value give NULL.
+
+    Steps: value counts per (column, value) (map-side combine); a range-
+    partitioned parquet stage of them; per-(partition, column) totals (a
+    small table) locate the partitions holding the requested ranks; only
+    those partitions - at most 2 x probs x columns - are sorted to find the
+    values.  No task ever holds a whole column.
     """
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     vc = value_counts(df, columns)
-    j = prefix_sums(vc, ["column"], [F.col("value")], ["cnt"], partitions=partitions, totals_prefix="_n_")
-    j = j.withColumnRenamed("_n_cnt", "_n")
+    n = _num_partitions(df, partitions)
+    ranged = materialize(vc.repartitionByRange(n, F.col("column"), F.col("value"))
+                           .withColumn("_pid", F.spark_partition_id()), "quantile_ranges")
+    totals = ranged.groupBy("_pid", "column").agg(F.sum("cnt").alias("_t"))
+    before = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_pid", "column", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"),
+                         F.sum("_t").over(Window.partitionBy("column")).alias("_n"))
+    holds = F.lit(False)
+    for p in probs:
+        r = (F.col("_n") - 1) * F.lit(float(p))
+        for k in (F.floor(r), F.ceil(r)):
+            holds = holds | ((F.col("_o") <= k) & (k < F.col("_o") + F.col("_t")))
+    # at most 2 x probs partitions per column: a bounded broadcast
+    need = offs.where(holds).select("_pid", "column", "_o", "_n")
+    sel = ranged.join(F.broadcast(need), ["_pid", "column"])
+    w = Window.partitionBy("_pid", "column").orderBy("value").rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
+    j = sel.withColumn("cum_cnt", F.col("_o") + F.sum("cnt").over(w))
     aggs = []
     for p, nm in zip(probs, names):
         r = (F.col("_n") - 1) * F.lit(float(p))
