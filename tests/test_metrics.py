@@ -115,3 +115,15 @@ def test_folds_with_repeated_keys_keep_every_row(spark):
     assert set(counts.values()) == {150}
     u = splits.stratified_folds(df.dropDuplicates(["id"]), "label", ["id"], 3, unique_keys=True)
     assert u.count() == 300
+
+
+def test_grouped_folds_keep_customers_together(spark):
+    data = [(i // 4, 1 if (i // 4) % 3 == 0 else 0, i) for i in range(1200)]  # 300 customers x 4 rows
+    df = spark.createDataFrame(data, "id int, label int, r int")
+    f = splits.grouped_stratified_folds(df, "label", "id", 3)
+    assert f.count() == 1200
+    assert f.select("id", "fold").distinct().count() == 300  # one fold per customer
+    per_fold = {(r["fold"], r["label"]): r["count"]
+                for r in f.select("id", "fold", "label").distinct().groupBy("fold", "label").count().collect()}
+    assert sorted(per_fold[(k, 1)] for k in range(3)) == [33, 33, 34]
+    assert sorted(per_fold[(k, 0)] for k in range(3)) == [66, 67, 67]

@@ -52,3 +52,12 @@ def test_model_report_end_to_end(spark):
     assert out["importance"].count() > 0
     auc = out["holdout_auc"].first()["auc"]
     assert 0.0 <= auc <= 1.0
+
+
+def test_customer_grain_training_table(spark):
+    cfg = flows.FIXTURE_CONFIG
+    m = flows.customer_matrix(fx.customers(spark, SF001), fx.churn_flags(spark, SF001), cfg)
+    h = flows.price_history(fx.prices(spark, SF001), cfg)
+    t = flows.training_table(m, h, grain="customer", cfg=cfg)
+    assert t.count() == t.select("id").distinct().count()
+    assert "mean_3m_price_p2" in t.columns
