@@ -163,3 +163,18 @@ def ml12_mean_roc_summary(spark, sf):
     pts = metrics.roc_curve(_folds(spark, sf), group_cols=["fold"])
     _, summary = metrics.mean_roc(pts)
     return f32(summary)
+
+
+@register("ml10_grouped_folds_price_rows", """
+WITH g AS (SELECT id, churn FROM cust_churn),
+f AS (SELECT id, (row_number() OVER (PARTITION BY churn ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 3 AS fold
+      FROM g),
+r AS (SELECT p.id, c.churn FROM prices p JOIN cust_churn c ON p.id = c.id)
+SELECT f.fold, r.churn, count(*) AS n_rows, count(DISTINCT r.id) AS n_customers FROM r JOIN f ON r.id = f.id
+GROUP BY f.fold, r.churn
+""", ("cust_churn", "prices"))
+def ml10_grouped_folds_price_rows(spark, sf):
+    """Customer-grouped stratified folds over the price rows: every customer's rows share one fold."""
+    rows = fx.prices(spark, sf).select("id").join(fx.churn_flags(spark, sf), "id")
+    f = splits.grouped_stratified_folds(rows, "churn", "id", 3, 42)
+    return f.groupBy("fold", "churn").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_customers"))
