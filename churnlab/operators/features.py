@@ -11,7 +11,6 @@ from churnlab.functions import dates as D
 from churnlab.functions import scalar as S
 from churnlab.operators import project
 from churnlab.operators.clean import negatives_to_null
-from churnlab.operators.joins import maybe_broadcast
 from churnlab.operators.profile import correlation
 
 # Fixed values of the reference analysis.
@@ -102,19 +101,28 @@ def one_hot(df: DataFrame, column: str, prefix: str, width: int | None = None,
 
 
 def fold_rare(df: DataFrame, column: str, threshold: int = 75, replacement: str = "null_activity",
-              null_label: str | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+              null_label: str | None = None, max_list: int = 10_000) -> DataFrame:
     """FE6: categories seen at most ``threshold`` times are replaced by ``replacement``.
 
-    Counts per category are one aggregation, joined back on the category
-    (broadcast only behind the size check; otherwise a shuffle join whose hot
-    categories AQE splits).  NULLs are filled with ``null_label`` first.
+    One aggregation counts the categories and returns the rare ones (bounded:
+    at most ``max_list`` values reach the driver); the replacement is then a
+    plain ``isin`` projection - no join, no second pass over the counts.  With
+    more rare categories than that, the rare list stays distributed and is
+    joined back (AQE broadcasts it when its measured size allows).
+    NULLs are filled with ``null_label`` first.
     """
     src = df
     if null_label is not None:
         src = src.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
     counts = src.groupBy(column).agg(F.count(F.lit(1)).alias("_cat_n"))
     rare = counts.where(F.col("_cat_n") <= threshold).select(F.col(column).alias("_rare"))
-    j = src.join(maybe_broadcast(rare, max_broadcast_rows), F.col(column) == F.col("_rare"), "left")
+    listed = [r[0] for r in rare.limit(max_list + 1).collect()]
+    if len(listed) <= max_list:
+        if not listed:
+            return src
+        return src.withColumn(column, F.when(F.col(column).isin(*listed), F.lit(replacement))
+                                       .otherwise(F.col(column)))
+    j = src.join(rare, F.col(column) == F.col("_rare"), "left")
     return j.withColumn(column, F.when(F.col("_rare").isNotNull(), F.lit(replacement))
                                  .otherwise(F.col(column))).drop("_rare")
 
