@@ -47,6 +47,27 @@ def negatives_to_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.drop(*[f"{c}__med" for c in columns])
 
 
+def fill_and_fix_with_median(df: DataFrame, fill_columns: Sequence[str],
+                             negative_columns: Sequence[str]) -> DataFrame:
+    """CL2 then CL3 with one median pass.
+
+    Filling the NULLs of a column with its median leaves the median
+    unchanged: the n0 added copies sit exactly at the middle of the sorted
+    values (odd count: on the middle element; even count: between the two
+    middle ones), so the middle of the longer list is still that value.  The
+    median CL3 takes over the filled column is therefore CL2's median, and
+    both steps share one exact-median computation over the raw table.
+    """
+    cols = list(dict.fromkeys([*fill_columns, *negative_columns]))
+    med = medians(df, cols).select(*[F.col(c).alias(f"{c}__med") for c in cols])
+    out = with_stats(df, med)
+    exprs = {}
+    for c in cols:
+        v = F.coalesce(F.col(c), F.col(f"{c}__med")) if c in fill_columns else F.col(c)
+        exprs[c] = F.when(v < 0, F.col(f"{c}__med")).otherwise(v) if c in negative_columns else v
+    return out.withColumns(exprs).drop(*[f"{c}__med" for c in cols])
+
+
 def sparse_columns(df: DataFrame, max_missing_pct: float = 60.0) -> list[str]:
     """CL4 helper: columns whose NULL share exceeds ``max_missing_pct`` (one aggregation, one row to the driver)."""
     row = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(c) for c in df.columns]).first()

@@ -49,8 +49,18 @@ def cl2_fill_prices_with_median(spark, sf):
           + ", ".join(f"CAST(CASE WHEN {c} < 0 THEN m_{c} ELSE {c} END AS FLOAT) AS {c}" for c in FIX)
           + " FROM f, m", ("prices",))
 def cl3_negative_fixed_prices_to_median(spark, sf):
-    filled = clean.fill_with_median(fx.prices(spark, sf), PM)
-    return f32(clean.negatives_to_median(filled, FIX))
+    """CL2 + CL3 as in the reference (the oracle takes the second median over the filled column)."""
+    return f32(clean.fill_and_fix_with_median(fx.prices(spark, sf), PM, FIX))
+
+
+@register("cl3_negatives_to_median_two_pass",
+          "WITH m AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in FIX) + " FROM prices)\n"
+          "SELECT id, price_date, " + ", ".join(f"CAST(CASE WHEN {c} < 0 THEN m_{c} ELSE {c} END AS FLOAT) AS {c}"
+                                              for c in FIX) + " FROM prices, m", ("prices",))
+def cl3_negatives_to_median_two_pass(spark, sf):
+    """CL3 alone, on data that was not median-filled: its own median pass."""
+    p = fx.prices(spark, sf).select("id", "price_date", *FIX)
+    return f32(clean.negatives_to_median(p, FIX))
 
 
 @register("cl4_drop_sparse_columns", """

@@ -78,3 +78,15 @@ def test_iqr_fences_and_removals(spark):
 def test_negatives_to_null(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (2.0,)], "x double")
     assert [r["x"] for r in clean.negatives_to_null(df, ["x"]).collect()] == [None, 0.0, 2.0]
+
+
+def test_fill_and_fix_equals_two_steps(spark):
+    import random
+    rnd = random.Random(12)
+    for n in (7, 8, 41, 42):
+        data = [(i, None if rnd.random() < 0.2 else round(rnd.gauss(0, 3), 1),
+                 None if rnd.random() < 0.3 else round(rnd.gauss(1, 2), 1)) for i in range(n)]
+        df = spark.createDataFrame(data, "id int, a double, b double")
+        two = clean.negatives_to_median(clean.fill_with_median(df, ["a", "b"]), ["a", "b"])
+        one = clean.fill_and_fix_with_median(df, ["a", "b"], ["a", "b"])
+        assert sorted(tuple(r) for r in two.collect()) == sorted(tuple(r) for r in one.collect())
