@@ -9,8 +9,8 @@ from churnlab.plans.catalog import register
 from churnlab.plans.util import f32
 from churnlab.sources import fixtures as fx
 
-_FOLDS = ("SELECT id, label, score, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id)"
-          " - 1) % 3 AS fold FROM scored")
+_FOLDS = ("SELECT id, label, score, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id)"
+          " - 1) % 3 AS INTEGER) AS fold FROM scored")
 
 
 def _folds(spark, sf):
@@ -167,8 +167,8 @@ def ml12_mean_roc_summary(spark, sf):
 
 @register("ml10_grouped_folds_price_rows", """
 WITH g AS (SELECT id, churn FROM cust_churn),
-f AS (SELECT id, (row_number() OVER (PARTITION BY churn ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 3 AS fold
-      FROM g),
+f AS (SELECT id, CAST((row_number() OVER (PARTITION BY churn ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 3
+             AS INTEGER) AS fold FROM g),
 r AS (SELECT p.id, c.churn FROM prices p JOIN cust_churn c ON p.id = c.id)
 SELECT f.fold, r.churn, count(*) AS n_rows, count(DISTINCT r.id) AS n_customers FROM r JOIN f ON r.id = f.id
 GROUP BY f.fold, r.churn
