@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most CHUNK_BYTES of text, or one row."""
     for b in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > CHUNK_BYTES:
