@@ -32,6 +32,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def aliased(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table under names no operator uses, and the new name of each column."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names.__getitem__
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows that no model may learn from: crc32(id as text) mod 4 is 2."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -64,7 +70,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schem
     ``keep`` columns pass through unchanged and come first; only they and the
     text column are read.  ``schema`` is the DDL of the columns that fn adds.
     """
-    src = df.select(*keep, text)
+    src = df.select(*dict.fromkeys((*keep, text)))
     out = src.select(*keep).schema
     for f in _ddl(schema):
         out = out.add(f)
