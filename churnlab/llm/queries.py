@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
 from churnlab.llm.common import table
 from churnlab.llm.decontaminate import find_items, words_in
 from churnlab.llm.token_counts import count_tokens
@@ -19,6 +20,35 @@ from churnlab.llm.token_counts import count_tokens
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(tricky).alias("text"))
+    chats = format_chats(chain(rows.unionByName(extra)))
+    turns, loss = read_turns(), read_loss()
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"),
+                        F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+SQL2 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### : </turn>') + 1 + length(regexp_replace(role, '([\\#/:])', '\\\1', 'g'))
+                + length(regexp_replace(text, '([\\#/])', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = found.withColumn("n_hit", words_in("spans"))
@@ -57,5 +87,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_benchmark_decontamination, op9_token_counts)}
-ORACLE: dict[str, str] = {"op4_benchmark_decontamination": SQL4}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op9_token_counts)}
+ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
