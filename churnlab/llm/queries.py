@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
 from churnlab.llm.common import table
 from churnlab.llm.decontaminate import find_items, words_in
+from churnlab.llm.packing import pack_documents
 from churnlab.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,9 +84,13 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op5_best_fit_packing, op9_token_counts)}
 ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
