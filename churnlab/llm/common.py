@@ -91,3 +91,25 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schem
 def _ddl(schema: str) -> list:
     from pyspark.sql.types import StructType
     return StructType.fromDDL(schema).fields
+
+
+def labelled_sample(labels: DataFrame, label: str, per_class: int, key: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
+    """At most about ``per_class`` (key, label) rows of each class to learn from, and each class's full count.
+
+    Held-out rows, null ids and labels other than 0 and 1 are left out; an id
+    with both labels counts as 0.  Rows are taken by a hash of the id, so the
+    same rows come whatever the partitioning; a limit guards the bound.
+    """
+    known = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key))
+             .groupBy(key).agg(F.min(label).cast("int").alias("label")))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    return by_hash(known, counts, "label", per_class, key), counts
+
+
+def by_hash(df: DataFrame, counts: dict, column: str, per_class: int, key: str = "doc_id") -> DataFrame:
+    """About ``per_class`` rows of each class in ``counts`` (at most 1.3 times as many), by a hash of the key."""
+    picked = F.lit(False)
+    at = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20))
+    for value, n in counts.items():
+        picked = picked | ((F.col(column) == F.lit(value)) & (at < F.lit(int((1 << 20) * min(1.0, per_class / n)) + 1)))
+    return df.where(picked).limit(int(1.3 * per_class * max(1, len(counts))))

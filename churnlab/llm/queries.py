@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlab.llm import gam, line_crf
 from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
-from churnlab.llm.common import table
+from churnlab.llm.common import held_out, table
 from churnlab.llm.decontaminate import find_items, words_in
 from churnlab.llm.packing import pack_documents
 from churnlab.llm.token_counts import count_tokens
@@ -88,9 +89,22 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.fit(docs, table(spark, sf_dir, "labels"))
+    return gam.score(docs, model).select("doc_id", held_out().alias("held_out"), "score",
+                                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.fit(docs)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op5_best_fit_packing, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op8_quality_rules, op9_token_counts)}
 ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
