@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlab.llm import gam, line_crf
+from churnlab.llm import gam, langid, line_crf
 from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
 from churnlab.llm.common import held_out, table
 from churnlab.llm.decontaminate import find_items, words_in
@@ -106,5 +106,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op8_quality_rules, op9_token_counts)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op8_quality_rules, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
