@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlab.llm import gam, langid, line_crf
+from churnlab.llm import gam, langid, line_crf, pii
 from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
 from churnlab.llm.common import held_out, table
 from churnlab.llm.decontaminate import find_items, words_in
@@ -51,6 +51,15 @@ FROM c GROUP BY conv_id
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long") for k in pii.KINDS}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()),
+                        F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = found.withColumn("n_hit", words_in("spans"))
@@ -111,5 +120,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op8_quality_rules, op9_token_counts, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op3_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op8_quality_rules, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
