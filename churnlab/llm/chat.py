@@ -50,11 +50,14 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     ``messages`` needs id and parent; only paths that reach a root are kept.
     """
     ids = messages.select("id").where(F.col("id").isNotNull()).distinct()
-    links = (messages.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
+    parents = messages.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
+    # first messages have no parent: they stay out of the join, where null would be one hot key
+    links = (parents.where(F.col("parent").isNotNull())
              .join(ids.select(F.col("id").alias("parent"), F.lit(True).alias("known")), "parent", "left")
-             .select("id", F.when(F.col("known"), F.col("parent")).alias("above")))
+             .select("id", F.when(F.col("known"), F.col("parent")).alias("above"))
+             .unionByName(parents.where(F.col("parent").isNull()).select("id", F.col("parent").alias("above"))))
     jump = stage(links, "chat-links")
-    parents = jump.select(F.col("above").alias("id")).distinct()
+    parents = jump.where(F.col("above").isNotNull()).select(F.col("above").alias("id")).distinct()
     total, rounds = jump.count(), 0
     path = jump.join(parents, "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
     roots = jump.where(F.col("above").isNull()).select("id")
