@@ -37,9 +37,17 @@ from churnlab.llm.common import slices, stage, texts_of
 #: Pieces that one task packs together.
 SHARD_PIECES = 20_000
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
-#: Characters at which the words of a text and the tokenizer's white space disagree.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+REMEMBERED = 500_000
+#: Texts that are encoded whole: characters that Python alone takes for white
+#: space, the separator used below, and what may begin a special token.
+_WHOLE = re.compile("[\x00\x1c-\x1f]|<\\|")
+#: Marks behind a letter or digit at a word's end are words of their own to the tokenizer.
+_MARKS = re.compile(r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?;:|#*$%&]+)(?!\S)")
+
+
+def _words(text: str) -> list[str]:
+    """Words whose ids, strung together, are the text's; A-Z lower-cased as the tokenizer does."""
+    return _MARKS.sub(r"\1 \2", text.encode().lower().decode()).split()
 
 
 @lru_cache(maxsize=2)
@@ -64,19 +72,22 @@ class WordEncoder:
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n = int(lengths.sum())
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, n)
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
-        self.lengths, self.flat = np.r_[self.lengths, lengths], np.r_[self.flat, flat]
+    def _learn(self, words: list[str], together: int = 2000) -> None:
+        """Encode new words, many in one text, a NUL (one id) before each of them."""
+        tokenizer = _tokenizer(self.path)
+        nul = tokenizer.encode("\0", add_special_tokens=False).ids[0]
+        joined = ["\0 " + " \0 ".join(words[i:i + together]) for i in range(0, len(words), together)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        at = np.flatnonzero(ids == nul)
+        self.starts = np.r_[self.starts, len(self.flat) + at + 1]
+        self.lengths = np.r_[self.lengths, np.diff(np.r_[at, len(ids)]) - 1]
+        self.flat = np.r_[self.flat, ids]
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self._forget()
-        parts = [None if ODD_SPACE.search(t) else t.split() for t in texts]
+        parts = [None if _WHOLE.search(t) else _words(t) for t in texts]
         new = list(set().union(*(p for p in parts if p)) - self.known.keys())
         if new:
             self._learn(new)

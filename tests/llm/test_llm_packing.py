@@ -21,7 +21,8 @@ def test_ids_same_as_whole_texts():
     rnd = random.Random(2)
     odd = ["", " ", "a\x1cb \x1f c", "x<|endoftext|>y <|startoftext|>", "ΟΔΟΣ ΟΔΟΣ.", "é ́a b c　", "don't we'll 's",
            "日本語 ไทย 한글", "\x85a\x0bb", "İI ß", "a" * 3000, "﷽  x"]
-    odd += ["".join(rnd.choice("abT'é́ \n\x1d.1٣日😀Σσ ") for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    odd += ["a.́ b.,!", "x<|ENDOFTEXT|>", "q\0 z", "don.t. it.s.", "é. ł. 5, ½."]
+    odd += ["".join(rnd.choice("abT.,|'é́ \n\x1d.1٣日😀Σσ ") for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
     assert [x.tolist() for x in P.WordEncoder(PATH)(odd)] == ids_of(odd)
 
 
