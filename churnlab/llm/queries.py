@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlab.llm import gam, langid, line_crf, pii
+from churnlab.llm import gam, langid, line_crf, pii, toxicity
 from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
 from churnlab.llm.common import held_out, table
 from churnlab.llm.decontaminate import find_items, words_in
@@ -106,6 +106,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score",
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.judge(docs, line_crf.fit(docs)).select(
@@ -121,5 +128,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op3_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op8_quality_rules, op9_token_counts, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op3_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
