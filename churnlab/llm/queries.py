@@ -16,12 +16,35 @@ from churnlab.llm import gam, langid, line_crf, pii, toxicity
 from churnlab.llm.chat import chain, format_chats, read_loss, read_turns
 from churnlab.llm.common import held_out, table
 from churnlab.llm.decontaminate import find_items, words_in
+from churnlab.llm.ngram_join import near_classes
 from churnlab.llm.packing import pack_documents
 from churnlab.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
+SQL1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT documents.doc_id, m.class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM documents JOIN m ON m.node = documents.doc_id LEFT JOIN k ON k.a = documents.doc_id
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = r"\### Assistant: </turn> ok"
@@ -128,5 +151,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_formatting, op3_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_counts, op10_language_id)}
-ORACLE: dict[str, str] = {"op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_pii, op4_benchmark_decontamination, op5_best_fit_packing, op6_quality_classifier, op7_toxicity, op8_quality_rules, op9_token_counts, op10_language_id)}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": SQL1, "op2_chat_formatting": SQL2, "op4_benchmark_decontamination": SQL4}
