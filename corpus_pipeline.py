@@ -1,12 +1,68 @@
-"""Corpus pipeline (under construction): stages are added with their operators."""
+"""Corpus pipeline: quality, near duplicates, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.  All but the last return
+the columns of ``documents``; the last returns the placed pieces.
+
+* quality - documents that the additive model scores below 0.7 go; the model
+  learns from ``labels`` rows that are not held out.
+* near_duplicates - of each class of documents linked by five-word shingles
+  and a similarity of 0.8 or more, the one with the smallest id stays.
+* decontamination - documents with any benchmark window go.
+* personal_data - every span is masked; n_chars follows the new text.
+* packing - pieces of at most 2048 tokens placed into sequences.
+
+Rows with a null id pass the quality, contamination and personal-data stages
+like others, and the near-duplicate stage unjudged.  Extra columns of the
+documents are carried along, null texts count as empty, and empty tables give
+an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from churnlab.llm import decontaminate, gam, ngram_join, packing, pii
+from churnlab.llm.common import stage, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return gam.keep_good(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, pii.fit(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
+
+#: Learned models and the packing cannot be stated in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stage(docs, name)
+    return docs
