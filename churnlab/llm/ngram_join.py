@@ -250,7 +250,7 @@ def sorted_groups(df: DataFrame, keys: tuple[str, ...], fn: Callable[[pa.Table],
 def likely(units: DataFrame, reps: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(unit, rep) of leaf members with a partner that the embedded values don't rule out."""
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
-    rows = (units.select("unit", F.explode("members").alias("rep")).join(reps.select("rep", "n", "sig"), "rep")
+    rows = (units.select("unit", F.explode("members").alias("rep")).join(reps.select("rep", "n", "sig").hint("merge"), "rep")
             .join(groups, "rep", "left").select("unit", "rep", "n", "sig", F.coalesce("dense", F.lit(-1)).alias("dense"),
                                                 F.col("dense").isNotNull().alias("in_dense")))
     out = StructType().add("unit", "long").add("rep", "long")
@@ -373,12 +373,13 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     found = stage(likely(units, reps, groups, threshold), "likely")
 
     needed = found.select("rep").unionByName(groups.select("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
+    # texts, signatures and sets meet by sort-merge at every size: their sides grow with the corpus
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed.hint("merge"), "rep")
     sets = stage(map_texts(texts, _Sets(n), "set binary", ("rep",)).groupBy("rep").agg(F.max("set").alias("set"))
                  .join(reps.select("rep", "copies"), "rep"), "sets")
 
     places = found.groupBy("rep").agg(F.sort_array(F.collect_set("unit")).alias("units"))
-    in_leaves = (found.join(sets.join(places, "rep").join(groups, "rep", "left"), "rep")
+    in_leaves = (found.join(sets.join(places, "rep").join(groups, "rep", "left").hint("merge"), "rep")
                  .select("unit", "rep", "copies", F.coalesce("dense", F.lit(-1)).alias("dense"),
                          F.col("dense").isNotNull().alias("in_dense"), "units", "set"))
     in_dense = sets.join(groups, "rep").select("dense", "rep", "copies", "set")
