@@ -9,8 +9,9 @@ numbers and are not used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 # numpy's mean Gregorian year and month, in days.
 DAYS_PER_YEAR = 365.2425
@@ -26,6 +27,13 @@ def parse_date(c, fmt: str = "yyyy-MM-dd", strict: bool = False) -> Column:
     return F.to_date(_c(c), fmt) if strict else F.try_to_date(_c(c), fmt)
 
 
+def as_date(df: DataFrame, column: str, fmt: str = "yyyy-MM-dd") -> Column:
+    """A DATE column as it is, a text column parsed (bad text -> NULL)."""
+    if isinstance(df.schema[column].dataType, (DateType, TimestampType, TimestampNTZType)):
+        return F.col(column).cast("date")
+    return parse_date(F.col(column).cast("string"), fmt)
+
+
 def whole_years(end, start) -> Column:
     """SF2: whole years from ``start`` to ``end`` (truncated toward zero)."""
     return (F.datediff(_c(end), _c(start)) / F.lit(DAYS_PER_YEAR)).cast("int")

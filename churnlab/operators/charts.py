@@ -67,16 +67,17 @@ def box_stats(df: DataFrame, column: str, whis: float = 1.5) -> DataFrame:
 
 
 def density(df: DataFrame, column: str, gridsize: int = 100, cut: float = 3.0,
-            bw_method: str = "scott", truncate: float = 8.0) -> DataFrame:
+            bw_method: str = "scott") -> DataFrame:
     """CH3: Gaussian kernel density of a column on an evenly spaced grid.
 
     Bandwidth = std (sample) * factor, factor n^(-1/5) (Scott) or
     (n * 3/4)^(-1/5) (Silverman); grid from min - cut*bw to max + cut*bw.
-    Each value contributes only to grid points within ``truncate``
-    bandwidths (beyond, the kernel is below 1e-14 of its peak), emitted with
-    ``explode`` and summed per grid point with map-side combine - no pairing
-    of rows with the whole grid.
+    Each value contributes to the grid points within 39 bandwidths, emitted
+    with ``explode`` and summed per grid point with map-side combine; beyond,
+    exp(-u*u/2) is exactly 0 in double arithmetic, so no term is lost.  A
+    constant (or single-row) column has no bandwidth: its density is NULL.
     """
+    reach = 39.0
     x = F.col(column)
     vals = df.where(x.isNotNull()).select(column)
     n, sd = F.col("_n"), F.col("_sd")
@@ -87,17 +88,17 @@ def density(df: DataFrame, column: str, gridsize: int = 100, cut: float = 3.0,
          .withColumn("_ghi", F.col("_mx") + F.lit(cut) * F.col("_bw")) \
          .withColumn("_gstep", (F.col("_ghi") - F.col("_glo")) / F.lit(gridsize - 1))
     glo, gstep, bw = F.col("_glo"), F.col("_gstep"), F.col("_bw")
-    kmin = F.greatest(F.ceil((x - F.lit(truncate) * bw - glo) / gstep), F.lit(0)).cast("int")
-    kmax = F.least(F.floor((x + F.lit(truncate) * bw - glo) / gstep), F.lit(gridsize - 1)).cast("int")
+    kmin = F.greatest(F.ceil(F.try_divide(x - F.lit(reach) * bw - glo, gstep)), F.lit(0)).cast("int")
+    kmax = F.least(F.floor(F.try_divide(x + F.lit(reach) * bw - glo, gstep)), F.lit(gridsize - 1)).cast("int")
     j = with_stats(vals, s).where(bw > 0)
     j = j.withColumn("k", F.explode(F.sequence(kmin, F.greatest(kmin, kmax)))).where(F.col("k") <= kmax)
-    u = (glo + F.col("k") * gstep - x) / bw
+    u = F.try_divide(glo + F.col("k") * gstep - x, bw)
     contrib = j.groupBy("k").agg(F.sum(F.exp(-0.5 * u * u)).alias("_ksum"))
     norm = F.lit(1.0 / math.sqrt(2.0 * math.pi))
     spine = s.select(F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("k"), "_glo", "_gstep", "_n", "_bw")
     out = spine.join(contrib, "k", "left")
     return out.select("k", (F.col("_glo") + F.col("k") * F.col("_gstep")).alias("x"),
-                      (F.coalesce(F.col("_ksum"), F.lit(0.0)) * norm / (F.col("_n") * F.col("_bw"))).alias("density"))
+                      F.try_divide(F.coalesce(F.col("_ksum"), F.lit(0.0)) * norm, F.col("_n") * F.col("_bw")).alias("density"))
 
 
 def stacked_bar_table(df: DataFrame, key: str, label: str = "churn", percent: bool = True,

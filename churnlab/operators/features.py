@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def price_window_means(prices: DataFrame, measures: Sequence[str], key: str = "i
     for every ``pairs`` entry ``out: (a, b)``, ``mean_<window>_<out>`` = sum of
     the two window means.
     """
-    d = D.parse_date(date_col)
+    d = D.as_date(prices, date_col)
     aggs = []
     for w, bound in windows.items():
         keep = None if bound is None else d > F.to_date(F.lit(bound))
@@ -46,8 +47,7 @@ def price_window_means(prices: DataFrame, measures: Sequence[str], key: str = "i
 
 def tenure(df: DataFrame, start: str = "date_activ", end: str = "date_end", name: str = "tenure") -> DataFrame:
     """FE2: whole years between two date columns (text or DATE)."""
-    return df.withColumn(name, D.whole_years(D.parse_date(F.col(end).cast("string")),
-                                             D.parse_date(F.col(start).cast("string"))))
+    return df.withColumn(name, D.whole_years(D.as_date(df, end), D.as_date(df, start)))
 
 
 def months_features(df: DataFrame, columns: Mapping[str, str], ref_date: str = REFERENCE_DATE,
@@ -56,7 +56,7 @@ def months_features(df: DataFrame, columns: Mapping[str, str], ref_date: str = R
     ref = F.to_date(F.lit(ref_date))
     exprs = {}
     for out, src in columns.items():
-        m = D.whole_months(ref, D.parse_date(F.col(src).cast("string")))
+        m = D.whole_months(ref, D.as_date(df, src))
         exprs[out] = -m if out in negate else m
     return df.withColumns(exprs)
 
@@ -66,14 +66,11 @@ def encode_flag(df: DataFrame, column: str = "has_gas", mapping: Mapping | None
     return df.withColumn(column, S.map_values(column, mapping or {"t": 1, "f": 0}))
 
 
-def category_values(df: DataFrame, column: str, max_categories: int = MAX_CATEGORIES) -> list:
-    """Distinct non-null values of a category column, sorted; bounded (raises above the bound)."""
+def category_values(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list | None:
+    """Distinct non-null values of a category column, sorted; None if there are more than ``most``."""
     vals = (df.where(F.col(column).isNotNull()).select(column).distinct()
-              .orderBy(column).limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
-        raise ValueError(f"{column} has more than {max_categories} categories; raise max_categories "
-                         "or use the vector encoder (pyspark.ml OneHotEncoder)")
-    return [r[0] for r in vals]
+              .orderBy(column).limit(most + 1).collect())
+    return None if len(vals) > most else [r[0] for r in vals]
 
 
 def one_hot(df: DataFrame, column: str, prefix: str, width: int | None = None,
@@ -85,12 +82,17 @@ def one_hot(df: DataFrame, column: str, prefix: str, width: int | None = None,
     NULLs are first filled with ``null_label`` (pandas ``fillna``); the dummy
     whose (cut) name equals ``drop_label`` is not created - the baseline
     category.  The category list is one bounded distinct job (the column set
-    must be known to build the plan); pass ``values`` to skip it.
+    must be known to build the plan); pass ``values`` to skip it.  A table of
+    more than ``max_categories`` dummy columns can't be planned: then the
+    dummies come as one sparse vector column ``<prefix>`` (:func:`one_hot_vector`).
     """
     src = df
     if null_label is not None:
         src = src.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
     cats = list(values) if values is not None else category_values(src, column, max_categories)
+    if cats is None:
+        out = one_hot_vector(src, column, prefix)
+        return out if keep_source else out.drop(column)
     names = [f"{prefix}_{v}" for v in cats]
     if width is not None:
         names = project.truncate_names(names, width)
@@ -100,28 +102,31 @@ def one_hot(df: DataFrame, column: str, prefix: str, width: int | None = None,
     return out if keep_source else out.drop(column)
 
 
+def one_hot_vector(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """FE5 for any number of categories: ``<prefix>_index`` and the sparse 0/1 vector ``<prefix>``.
+
+    Positions follow the categories' order; a NULL has the last position.
+    """
+    index = f"{prefix}_index"
+    indexer = StringIndexer(inputCol=column, outputCol=index, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
+    return OneHotEncoder(inputCol=index, outputCol=prefix, dropLast=False).fit(indexer.transform(df)).transform(
+        indexer.transform(df))
+
+
 def fold_rare(df: DataFrame, column: str, threshold: int = 75, replacement: str = "null_activity",
-              null_label: str | None = None, max_list: int = 10_000) -> DataFrame:
+              null_label: str | None = None) -> DataFrame:
     """FE6: categories seen at most ``threshold`` times are replaced by ``replacement``.
 
-    One aggregation counts the categories and returns the rare ones (bounded:
-    at most ``max_list`` values reach the driver); the replacement is then a
-    plain ``isin`` projection - no join, no second pass over the counts.  With
-    more rare categories than that, the rare list stays distributed and is
-    joined back (AQE broadcasts it when its measured size allows).
-    NULLs are filled with ``null_label`` first.
+    One aggregation counts the categories; the rare ones stay distributed and
+    are joined back (AQE broadcasts them where their measured size allows, and
+    splits a category that fills a partition).  NULLs are filled with
+    ``null_label`` first.
     """
     src = df
     if null_label is not None:
         src = src.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
     counts = src.groupBy(column).agg(F.count(F.lit(1)).alias("_cat_n"))
     rare = counts.where(F.col("_cat_n") <= threshold).select(F.col(column).alias("_rare"))
-    listed = [r[0] for r in rare.limit(max_list + 1).collect()]
-    if len(listed) <= max_list:
-        if not listed:
-            return src
-        return src.withColumn(column, F.when(F.col(column).isin(*listed), F.lit(replacement))
-                                       .otherwise(F.col(column)))
     j = src.join(rare, F.col(column) == F.col("_rare"), "left")
     return j.withColumn(column, F.when(F.col("_rare").isNotNull(), F.lit(replacement))
                                  .otherwise(F.col(column))).drop("_rare")

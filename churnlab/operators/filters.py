@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlab.functions.dates import as_date
+
 
 def equals(df: DataFrame, column: str, value) -> DataFrame:
     """FI1: rows where ``column == value``."""
@@ -23,8 +25,9 @@ def any_negative(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def after_date(df: DataFrame, column: str, day: str) -> DataFrame:
-    """FI3: strict lower bound on a date column given as 'yyyy-MM-dd' text."""
-    return df.where(F.to_date(F.col(column)) > F.to_date(F.lit(day)))
+    """FI3: strict lower bound 'yyyy-MM-dd' on a DATE column (pushed into the scan) or a text column
+    (text that is no date drops)."""
+    return df.where(as_date(df, column) > F.lit(day).cast("date"))
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:

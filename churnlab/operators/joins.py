@@ -1,10 +1,8 @@
-"""Joins (JO1-JO4) and the size-checked broadcast used across the library.
+"""Joins (JO1-JO4).
 
-Broadcast rule: a side is broadcast only when its size is proven by a
-bounded probe (``limit(max_rows + 1).count()``); otherwise the join stays a
-shuffle join and adaptive execution may still switch it at run time from
-measured shuffle sizes.  One-row statistics (global aggregates) are not
-joined at all: they enter as scalar subqueries (``with_stats``).
+No side is broadcast by a hint: joins are shuffle joins and adaptive execution
+switches them from measured sizes.  One-row statistics (global aggregates) are
+not joined at all: they enter as scalar subqueries (``with_stats``).
 """
 
 from __future__ import annotations
@@ -12,19 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; the probe reads at most max_rows+1."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise leave the planner to choose."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def with_stats(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
     """Attach the columns of a one-row statistics frame (a global aggregate) to every row.
 

@@ -75,7 +75,7 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score",
     Columns: groups..., score, pos, neg, rank (1 = highest score), tps, fps.
     """
     y = F.col(label)
-    per = (df.where(F.col(score).isNotNull())
+    per = (df.where(F.col(score).isNotNull() & y.isNotNull())
              .groupBy(*group_cols, F.col(score).alias("score"))
              .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
              .withColumn("_one", F.lit(1).cast("bigint")))
@@ -97,8 +97,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", group_c
     groups = list(group_cols)
     sc = score_counts(df, label, score, groups)
     tot = sc.groupBy(*groups).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.max("rank").alias("_m"))
-    # one row per group (few groups, e.g. folds) or a single row
-    pts = sc.join(F.broadcast(tot), groups) if groups else with_stats(sc, tot)
+    pts = sc.join(tot, groups) if groups else with_stats(sc, tot)
     if drop_intermediate:
         nxt = sc.select(*groups, (F.col("rank") - 1).alias("rank"), F.col("pos").alias("_npos"),
                         F.col("neg").alias("_nneg"))

@@ -3,9 +3,11 @@
 XGBoost is replaced by ``pyspark.ml.classification.GBTClassifier``: trees are
 grown level by level from statistics aggregated across executors, so the
 training table is never gathered on one machine.  Parameter names of the
-reference are mapped (``xgb_to_gbt``); parameters without a Spark
-counterpart are reported, not silently dropped.  GBT rejects NaN, so
-missing feature values are filled and flagged first (``prepare_features``).
+reference are mapped (``xgb_to_gbt``); ``scale_pos_weight`` becomes a weight
+column, parameters without a Spark counterpart come back as ``unmapped``
+(``unmapped_params``, and a column of the grid search's table), and values that
+Spark cannot take raise.  GBT rejects NaN, so missing feature values are filled
+and flagged first (``prepare_features``).
 
 Scores will not equal XGBoost's; tests check properties (fixed-seed
 repeatability, AUC above chance on informative data), never equality.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from churnlab.operators import metrics
 from churnlab.operators.rates import numeric_columns
-from churnlab.session import ensure_checkpoint_dir, shared_path
+from churnlab.session import ensure_checkpoint_dir, materialize, shared_path
 
 # The reference's base model and search grid (XGBoost names).
 BASE_PARAMS = {"learning_rate": 0.1, "max_depth": 6, "n_estimators": 500}
@@ -44,9 +46,15 @@ def feature_columns(df: DataFrame, exclude: Sequence[str] = EXCLUDE) -> list[str
     return numeric_columns(df, exclude=list(exclude))
 
 
+def _missing(c: str):
+    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+
+
 def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Which of ``columns`` hold a NULL (one aggregation, one row to the driver)."""
-    row = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in columns]).first()
+    """Which of ``columns`` hold a NULL or NaN (one aggregation, one row to the driver)."""
+    if not columns:
+        return []
+    row = df.agg(*[F.max(_missing(c).cast("int")).alias(c) for c in columns]).first()
     return [c for c in columns if row[c]]
 
 
@@ -61,7 +69,7 @@ def prepare_features(df: DataFrame, columns: Sequence[str], fill_value: float =
     for c in columns:
         x = F.col(c).cast("double")
         exprs[c] = F.when(x.isNull() | F.isnan(x), F.lit(fill_value)).otherwise(x)
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in nullable}
+    flags = {f"{c}_missing": _missing(c).cast("double") for c in nullable}
     out = df.withColumns(flags).withColumns(exprs)
     return out, list(columns) + list(flags)
 
@@ -78,7 +86,9 @@ def xgb_to_gbt(params: Mapping) -> tuple[dict, dict]:
         if k == "learning_rate":
             mapped["stepSize"] = float(v)
         elif k == "max_depth":
-            mapped["maxDepth"] = min(int(v), MAX_GBT_DEPTH)
+            if int(v) > MAX_GBT_DEPTH:
+                raise ValueError(f"max_depth {v}: Spark trees are at most {MAX_GBT_DEPTH} deep")
+            mapped["maxDepth"] = int(v)
         elif k == "n_estimators":
             mapped["maxIter"] = int(v)
         elif k == "subsample":
@@ -86,9 +96,11 @@ def xgb_to_gbt(params: Mapping) -> tuple[dict, dict]:
         elif k == "colsample_bytree":
             mapped["featureSubsetStrategy"] = str(v)  # per node in Spark, per tree in XGBoost
         elif k == "min_child_weight":
-            mapped["minInstancesPerNode"] = max(1, int(v))  # rows, not hessian sum
-        elif k == "scale_pos_weight" and float(v) == 1.0:
-            pass  # weight 1: no weight column needed
+            if float(v) != int(v) or int(v) < 1:
+                raise ValueError(f"min_child_weight {v}: Spark counts whole rows, at least 1")
+            mapped["minInstancesPerNode"] = int(v)  # rows, not hessian sum
+        elif k == "scale_pos_weight":
+            pass  # a weight column, see with_class_weight
         elif k in ("silent", "nthread", "n_jobs", "objective", "verbosity"):
             pass  # cluster parallelism / binary logistic loss are implied
         else:
@@ -96,10 +108,26 @@ def xgb_to_gbt(params: Mapping) -> tuple[dict, dict]:
     return mapped, unmapped
 
 
+def unmapped_params(params: Mapping | None) -> dict:
+    """Parameters that have no effect on the Spark model."""
+    return xgb_to_gbt(params or BASE_PARAMS)[1]
+
+
+WEIGHT = "_class_weight"
+
+
+def with_class_weight(df: DataFrame, params: Mapping | None, label: str) -> DataFrame:
+    """``scale_pos_weight``: rows of class 1 count that much, others 1."""
+    w = float((params or BASE_PARAMS).get("scale_pos_weight", 1))
+    return df.withColumn(WEIGHT, F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
+
+
 def gbt(params: Mapping | None = None, label: str = "churn", features: str = "features",
         seed: int = 42, checkpoint_interval: int = 10) -> GBTClassifier:
     """ML3: a GBT classifier (logistic loss) from XGBoost-style parameters."""
     mapped, _ = xgb_to_gbt(params or BASE_PARAMS)
+    if float((params or BASE_PARAMS).get("scale_pos_weight", 1)) != 1.0:
+        mapped["weightCol"] = WEIGHT
     return GBTClassifier(featuresCol=features, labelCol=label, lossType="logistic", seed=seed,
                          checkpointInterval=checkpoint_interval, **mapped)
 
@@ -112,7 +140,7 @@ def fit(train: DataFrame, columns: Sequence[str], params: Mapping | None = None,
     iterations into the shared checkpoint folder.
     """
     ensure_checkpoint_dir(train.sparkSession)
-    data = train.withColumn(label, F.col(label).cast("double"))
+    data = with_class_weight(train.withColumn(label, F.col(label).cast("double")), params, label)
     return Pipeline(stages=[assembler(columns), gbt(params, label, seed=seed)]).fit(data)
 
 
@@ -129,31 +157,29 @@ def _auc_of(pred: DataFrame, label: str, group_cols=()) -> DataFrame:
 
 def cross_validate(data: DataFrame, columns: Sequence[str], params: Mapping | None = None,
                    label: str = "churn", fold_col: str = "fold", k: int = 3,
-                   keep: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
+                   keep: Sequence[str] = ("id",)):
     """ML11/ML16: per-fold fit; train AUC, test AUC and the test ROC points of each fold.
 
     The loop runs over the k folds on the driver; every fit, prediction and
-    metric is a distributed job.  Returns (fold AUC table, ROC points).
+    metric is a distributed job over stored predictions.  Returns (fold AUC
+    table, ROC points, the last fold's fitted model).
     """
-    aucs, preds = [], []
+    parts = []
     for f in range(k):
         train = data.where(F.col(fold_col) != f)
         test = data.where(F.col(fold_col) == f)
         model = fit(train, columns, params, label)
-        p_train = predict(model, train, [*keep, label]).withColumn(fold_col, F.lit(f))
-        p_test = predict(model, test, [*keep, label]).withColumn(fold_col, F.lit(f))
-        a_tr = _auc_of(p_train, label).select(F.lit(f).alias(fold_col), F.col("auc").alias("auc_train"))
-        a_te = _auc_of(p_test, label).select(F.lit(f).alias(fold_col), F.col("auc").alias("auc_test"))
-        aucs.append(a_tr.join(a_te, fold_col))
-        preds.append(p_test)
-    fold_aucs = aucs[0]
-    for a in aucs[1:]:
-        fold_aucs = fold_aucs.unionByName(a)
-    test_preds = preds[0]
-    for p in preds[1:]:
-        test_preds = test_preds.unionByName(p)
-    roc = metrics.roc_curve(test_preds.withColumnRenamed(label, "label"), "label", "p_churn", [fold_col])
-    return fold_aucs, roc
+        both = train.withColumn("_side", F.lit("train")).unionByName(test.withColumn("_side", F.lit("test")))
+        parts.append(predict(model, both, [*keep, label, "_side"]).withColumn(fold_col, F.lit(f)))
+    pred = parts[0]
+    for p in parts[1:]:
+        pred = pred.unionByName(p)
+    pred = materialize(pred, "cv_predictions")
+    each = _auc_of(pred, label, [fold_col, "_side"])
+    fold_aucs = each.groupBy(fold_col).agg(*[F.max(F.when(F.col("_side") == s, F.col("auc"))).alias(f"auc_{s}")
+                                             for s in ("train", "test")])
+    roc = metrics.roc_curve(pred.where("_side = 'test'").withColumnRenamed(label, "label"), "label", "p_churn", [fold_col])
+    return fold_aucs, roc, model
 
 
 def param_grid(grid: Mapping[str, Sequence] = REFERENCE_GRID) -> list[dict]:
@@ -163,16 +189,19 @@ def param_grid(grid: Mapping[str, Sequence] = REFERENCE_GRID) -> list[dict]:
 
 
 def grid_search(data: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence] = REFERENCE_GRID,
-                label: str = "churn", fold_col: str = "fold", parallelism: int = 2, seed: int = 42):
+                label: str = "churn", fold_col: str = "fold", k: int = 3, parallelism: int = 2, seed: int = 42):
     """ML14/ML15: k-fold grid search by area under ROC on the given folds.
 
-    Returns (candidates table: candidate, params, mean_auc, rank; best
-    XGBoost-style parameters).  ``CrossValidator`` fits the candidates in
+    Returns (candidates table: candidate, params, unmapped, mean_auc, rank; best
+    XGBoost-style parameters).  ``scale_pos_weight`` must be the same for all
+    candidates: it is a column of the one table they share.  ``CrossValidator`` fits the candidates in
     ``parallelism`` concurrent distributed jobs.
     """
     ensure_checkpoint_dir(data.sparkSession)
     cands = param_grid(grid)
-    est = gbt({}, label, seed=seed)
+    if len({float(c.get("scale_pos_weight", 1)) for c in cands}) > 1:
+        raise ValueError("search one scale_pos_weight at a time")
+    est = gbt({"scale_pos_weight": cands[0].get("scale_pos_weight", 1)}, label, seed=seed)
     maps = []
     for c in cands:
         mapped, _ = xgb_to_gbt(c)
@@ -181,11 +210,11 @@ def grid_search(data: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequ
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                                                 metricName="areaUnderROC"),
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    cvm = cv.fit(data.withColumn(label, F.col(label).cast("double")))
-    rows = [(i, str(c), float(m)) for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
+                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=seed)
+    cvm = cv.fit(with_class_weight(data.withColumn(label, F.col(label).cast("double")), cands[0], label))
+    rows = [(i, str(c), str(unmapped_params(c)), float(m)) for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
     spark = data.sparkSession
-    table = spark.createDataFrame(rows, "candidate int, params string, mean_auc double")
+    table = spark.createDataFrame(rows, "candidate int, params string, unmapped string, mean_auc double")
     # one row per candidate: a window over the candidate table is bounded
     table = table.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_auc").desc(), "candidate")))
     best = cands[max(range(len(cands)), key=lambda i: (cvm.avgMetrics[i], -i))]

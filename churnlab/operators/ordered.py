@@ -20,6 +20,7 @@ row into one task.  The helpers here keep such work distributed:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,23 +29,25 @@ from pyspark.sql import functions as F
 from churnlab.session import materialize
 
 
+#: Rows that one range partition sorts; ranges follow the data, as AQE does not split them.
+ROWS_PER_RANGE = 2_000_000
+
+
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, math.ceil(df.count() / ROWS_PER_RANGE))
 
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
-                sum_cols: Sequence[str], prefix: str = "cum_", partitions: int | None = None,
-                exclusive: bool = False, totals_prefix: str | None = None) -> DataFrame:
-    """Running sums of ``sum_cols`` per group in ``order`` (inclusive unless ``exclusive``).
+                sum_cols: Sequence[str], prefix: str = "cum_", partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` per group in ``order``.
 
     ``order`` must be a total order within a group (add a unique tie-break)
-    for the running sum to be well defined row by row.  Group columns must be
-    non-null.  Intended for few groups (classes, column names); many small
-    groups are better served by an ordinary partitioned window.  With
-    ``totals_prefix`` every row also gets its group's grand totals (taken
-    from the small offsets table, no extra pass).
+    for the running sum to be well defined row by row.  NULL is a group of its
+    own.  Intended for few groups (classes, column names); many small groups
+    are better served by an ordinary partitioned window.
     """
     groups = list(group_cols)
     n = _num_partitions(df, partitions)
@@ -56,24 +59,22 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     # bounds.  A parquet stage in the shared checkpoint folder fixes the
     # partition ids once and survives lost executors (a cache would be recomputed).
     ranged = materialize(ranged, "prefix_ranges")
-    frame = Window.unboundedPreceding
-    upto = -1 if exclusive else Window.currentRow
-    w_local = Window.partitionBy("_pid", *groups).orderBy(*order).rowsBetween(frame, upto)
+    w_local = (Window.partitionBy("_pid", *groups).orderBy(*order)
+                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(w_local), F.lit(0)) for c in sum_cols})
     totals = ranged.groupBy("_pid", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *groups, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0))
-                                               .alias(f"_o_{c}") for c in sum_cols])
-    if totals_prefix:
-        w_all = Window.partitionBy(*groups)
-        offsets = offsets.join(totals.select("_pid", *groups, *[F.sum(f"_t_{c}").over(w_all)
-                                                               .alias(f"{totals_prefix}{c}") for c in sum_cols]),
-                               ["_pid", *groups])
-    # offsets has at most partitions + groups rows (range partitions are
-    # contiguous in (group, order)), a bound fixed by the caller's few groups
-    out = local.join(F.broadcast(offsets), ["_pid", *groups])
+    keys = {c: f"_k{i}" for i, c in enumerate(["_pid", *groups])}
+    offsets = totals.select(*[F.col(c).alias(k) for c, k in keys.items()],
+                            *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    # null-safe, so rows whose group is NULL find their offset too; offsets has
+    # a row per (range, group) and AQE broadcasts it where its measured size allows
+    same = F.lit(True)
+    for c, k in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    out = local.join(offsets, same)
     out = out.withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.col(f"_l_{c}") for c in sum_cols})
-    return out.drop("_pid", *[f"_{k}_{c}" for c in sum_cols for k in ("l", "o")])
+    return out.drop("_pid", *keys.values(), *[f"_{k}_{c}" for c in sum_cols for k in ("l", "o")])
 
 
 def row_numbers(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlab.functions.dates import as_date
 from churnlab.operators.joins import with_stats
 
 CLASSES = (0, 1)
@@ -97,13 +98,14 @@ def monthly_crosstab(df: DataFrame, date_col: str, label: str = "churn", count_c
 
     pandas' ``Grouper(freq='M')`` emits every month between the first and last
     one, with NULL cells for empty months; the month spine is generated from
-    the (one-row) min/max and left-joined, so no month is missing.
+    the min/max of the crosstab's months and left-joined, so no month is missing.
+    Text that is no date counts as NULL.
     """
-    d = F.to_date(F.col(date_col))
+    d = as_date(df, date_col)
     keyed = df.where(d.isNotNull()).withColumn(month_name, F.last_day(d))
     ct = crosstab(keyed, month_name, label, count_col, classes)
     first = F.trunc(F.col(month_name), "month")
-    bounds = keyed.agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"))
+    bounds = ct.agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"))
     spine = bounds.select(F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr("INTERVAL 1 MONTH")))
                           .alias("_m")).select(F.last_day("_m").alias(month_name))
     return spine.join(ct, month_name, "left")

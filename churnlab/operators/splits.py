@@ -45,8 +45,9 @@ def stratified_folds(df: DataFrame, label: str, key_cols: Sequence[str], k: int
     numbered; fold = (row number - 1) mod k, so every fold gets the same
     share of each class (to within one row).  The numbering uses
     ``ordered.row_numbers``: a class holding most rows is still spread over
-    many tasks.  Rows with equal keys are numbered in arbitrary order among
-    themselves (class counts per fold stay balanced).  With ``unique_keys``
+    many tasks.  Rows with equal keys follow a hash of all their columns, so
+    only identical rows are interchangeable and the folds don't depend on
+    how rows arrive; a NULL label is a class of its own.  With ``unique_keys``
     (the caller guarantees the keys identify rows) only the narrow key
     projection is numbered and joined back - cheaper for wide rows; with
     repeated keys that join would multiply rows, so it is opt-in.
@@ -60,12 +61,17 @@ def stratified_folds(df: DataFrame, label: str, key_cols: Sequence[str], k: int
     keys = list(key_cols)
     order = [F.col("_h"), *[F.col(c) for c in keys]]
     if not unique_keys:
-        rn = ordered.row_numbers(df.withColumn("_h", key_hash(keys, seed)), [label], order, "_rn")
-        return rn.withColumn(col, ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn")
+        hashed = df.withColumns({"_h": key_hash(keys, seed), "_r": F.xxhash64(*[F.col(c) for c in df.columns])})
+        rn = ordered.row_numbers(hashed, [label], [*order, F.col("_r")], "_rn")
+        return rn.withColumn(col, ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_r", "_rn")
     narrow = df.select(*keys, label).withColumn("_h", key_hash(keys, seed))
     rn = ordered.row_numbers(narrow, [label], order, "_rn")
-    folds = rn.select(*keys, ((F.col("_rn") - 1) % k).cast("int").alias(col))
-    return df.join(folds, keys, "inner")
+    folds = rn.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                      ((F.col("_rn") - 1) % k).cast("int").alias(col))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & df[c].eqNullSafe(folds[f"_k{i}"])
+    return df.join(folds, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def grouped_stratified_folds(df: DataFrame, label: str, group_col: str = "id", k: int = 3, seed: int = 42,
@@ -78,5 +84,6 @@ def grouped_stratified_folds(df: DataFrame, label: str, group_col: str = "id", k
     on the group key (unique on that side, so no row is multiplied).
     """
     groups = df.select(group_col, label).dropDuplicates([group_col])
-    folds = stratified_folds(groups, label, [group_col], k, seed, col, unique_keys=True).drop(label)
-    return df.join(folds, group_col, "inner")
+    folds = stratified_folds(groups, label, [group_col], k, seed, col, unique_keys=True)
+    folds = folds.select(F.col(group_col).alias("_g"), col)
+    return df.join(folds, df[group_col].eqNullSafe(folds["_g"])).drop("_g")

@@ -55,12 +55,8 @@ s0 AS (SELECT count(x) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FR
 s1 AS (SELECT *, sd * pow(n, -0.2) AS bw FROM s0),
 s2 AS (SELECT *, mn - 3.0 * bw AS glo, mx + 3.0 * bw AS ghi FROM s1),
 s AS (SELECT *, (ghi - glo) / 99 AS gstep FROM s2),
-j AS (SELECT x, glo, gstep, bw,
-             CAST(greatest(ceil((x - 8.0 * bw - glo) / gstep), 0) AS INTEGER) AS kmin,
-             CAST(least(floor((x + 8.0 * bw - glo) / gstep), 99) AS INTEGER) AS kmax FROM v, s WHERE bw > 0),
-e AS (SELECT x, glo, gstep, bw, kmax, unnest(generate_series(kmin, greatest(kmin, kmax))) AS k FROM j),
-c AS (SELECT k, sum(exp(-0.5 * ((glo + k * gstep - x) / bw) * ((glo + k * gstep - x) / bw))) AS ksum
-      FROM e WHERE k <= kmax GROUP BY k),
+c AS (SELECT CAST(k AS INTEGER) AS k, sum(exp(-0.5 * ((glo + k * gstep - x) / bw) * ((glo + k * gstep - x) / bw))) AS ksum
+      FROM v, s, range(100) AS g(k) WHERE bw > 0 GROUP BY 1),
 sp AS (SELECT CAST(range AS INTEGER) AS k FROM range(100))
 SELECT sp.k, CAST(glo + sp.k * gstep AS FLOAT) AS x,
        CAST(coalesce(ksum, 0.0) * (1.0 / sqrt(2.0 * pi())) / (n * bw) AS FLOAT) AS density
@@ -101,7 +97,9 @@ def ch5_heatmap_price_features(spark, sf):
     return f32(charts.heatmap_cells(feats, _FEATS).drop("text"))
 
 
-@register("ch5_heatmap_annotations")
+@register("ch5_heatmap_annotations", f"WITH feats AS ({_FE1}), cells AS (" + "\nUNION ALL\n".join(
+    f"(SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM feats)" for a in _FEATS for b in _FEATS)
+    + ") SELECT a, b, CAST(r AS FLOAT) AS r, printf('%.2f', r) AS text FROM cells", ("prices",))
 def ch5_heatmap_annotations(spark, sf):
     feats = features.price_window_means(fx.prices(spark, sf), PM, windows={"year": None})
-    return charts.heatmap_cells(feats, _FEATS)
+    return f32(charts.heatmap_cells(feats, _FEATS))

@@ -23,6 +23,9 @@ def _mode_sql(table, c):
             f"GROUP BY {c}) ORDER BY cnt DESC, value LIMIT 1) AS m_{c}")
 
 
+CFG_LOG = ("cons_12m", "cons_last_month", "imp_cons")
+
+
 @register("cl1_fill_dates_with_mode",
           "WITH m AS (SELECT " + ", ".join(_mode_sql("cust_churn", c) for c in DATES) + ")\n"
           "SELECT id, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in DATES) + " FROM cust_churn, m",
@@ -74,10 +77,13 @@ def cl4_drop_sparse_columns(spark, sf):
 
 
 @register("cl5_negatives_to_null", """
-SELECT id, CAST(CASE WHEN cons_12m >= 0 THEN cons_12m END AS FLOAT) AS cons_12m FROM cust_churn
+SELECT id, CAST(CASE WHEN cons_12m >= 0 THEN cons_12m END AS FLOAT) AS cons_12m,
+       CAST(CASE WHEN cons_last_month >= 0 THEN cons_last_month END AS FLOAT) AS cons_last_month,
+       CAST(CASE WHEN imp_cons >= 0 THEN imp_cons END AS FLOAT) AS imp_cons FROM cust_churn
 """, ("cust_churn",))
 def cl5_negatives_to_null(spark, sf):
-    return f32(clean.negatives_to_null(fx.cust_churn(spark, sf).select("id", "cons_12m"), ["cons_12m"]))
+    cols = list(CFG_LOG)
+    return f32(clean.negatives_to_null(fx.cust_churn(spark, sf).select("id", *cols), cols))
 
 
 def _zrep_sql(table, key, cols, z=3):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnlab import schemas
-from churnlab.operators import features
+from churnlab.operators import features, joins
 from churnlab.plans.catalog import register
 from churnlab.plans.util import f32
 from churnlab.sources import fixtures as fx
@@ -71,6 +72,34 @@ def fe5_one_hot_channel(spark, sf):
                             drop_label="channel_nul")
 
 
+_NATIONS = [f"nation_{k}" for k in range(25)]
+
+
+@register("fe5_one_hot_both", "SELECT id, " + ", ".join(
+    f"CASE WHEN coalesce(channel_sales, 'null_channels') = '{v}' THEN 1 ELSE 0 END AS \"{('channel_' + v)[:11]}\""
+    for v in _CH) + ", " + ", ".join(
+    f"CASE WHEN activity_new = '{v}' THEN 1 ELSE 0 END AS \"activity_{v}\"" for v in _NATIONS) + " FROM cust_churn",
+    ("cust_churn",))
+def fe5_one_hot_both(spark, sf):
+    """Both category columns of the customer table."""
+    df = fx.cust_churn(spark, sf).select("id", "channel_sales", "activity_new")
+    df = features.one_hot(df, "channel_sales", "channel", width=11, null_label="null_channels", drop_label="channel_nul")
+    return features.one_hot(df, "activity_new", "activity", null_label="null_activity", drop_label="activity_null_activity",
+                            values=_NATIONS)
+
+
+@register("fe5_one_hot_many", """
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS position,
+       CAST((SELECT count(DISTINCT c_name) FROM customer) + 1 AS INTEGER) AS size FROM customer WHERE c_name IS NOT NULL
+""")
+def fe5_one_hot_many(spark, sf):
+    """More categories than dummy columns could hold: the position of the 1 in each row's sparse vector."""
+    df = fx.table(spark, sf, "customer").where("c_name IS NOT NULL").select("c_custkey", "c_name")
+    hot = features.one_hot_vector(df, "c_name", "phone")
+    return hot.select("c_custkey", F.col("phone_index").cast("int").alias("position"),
+                      F.size(vector_to_array("phone")).alias("size"))
+
+
 @register("fe6_fold_rare_brands", """
 SELECT p_partkey, CASE WHEN p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) <= 75)
                        THEN 'null_activity' ELSE p_brand END AS p_brand FROM part
@@ -108,6 +137,18 @@ def fe8_drop_correlated(spark, sf):
     return features.drop_correlated(cc, num, threshold=0.8)
 
 
+@register("jo3_same_row_columns", """
+SELECT id, CAST(cons_12m - cons_last_month AS FLOAT) AS cons_gap,
+       CAST(CASE WHEN net_margin > margin_net_pow_ele THEN 1 ELSE 0 END AS INTEGER) AS above FROM cust_churn
+""", ("cust_churn",))
+def jo3_same_row_columns(spark, sf):
+    """Columns derived on the same row instead of an index-aligned merge."""
+    cc = fx.cust_churn(spark, sf)
+    out = joins.no_join_columns(cc, {"cons_gap": F.col("cons_12m") - F.col("cons_last_month"),
+                                     "above": F.when(F.col("net_margin") > F.col("margin_net_pow_ele"), 1).otherwise(0)})
+    return f32(out.select("id", "cons_gap", "above"))
+
+
 _NUM = ["cons_12m", "nb_prod_act", "cons_last_month", "imp_cons", "margin_net_pow_ele", "net_margin"]
 
 

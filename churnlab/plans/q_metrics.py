@@ -178,3 +178,18 @@ def ml10_grouped_folds_price_rows(spark, sf):
     rows = fx.prices(spark, sf).select("id").join(fx.churn_flags(spark, sf), "id")
     f = splits.grouped_stratified_folds(rows, "churn", "id", 3, 42)
     return f.groupBy("fold", "churn").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_customers"))
+
+
+@register("ml10_folds_null_labels_and_repeats", """
+WITH p AS (SELECT CASE WHEN id % 11 <> 0 THEN churn END AS churn FROM cust_churn
+           UNION ALL SELECT CASE WHEN id % 11 <> 0 THEN churn END FROM cust_churn WHERE id % 5 = 0),
+c AS (SELECT churn, count(*) AS n FROM p GROUP BY churn),
+f AS (SELECT churn, n, unnest(range(3)) AS fold FROM c)
+SELECT churn, CAST(fold AS INTEGER) AS fold, CAST((n - fold + 2) // 3 AS BIGINT) AS n_rows FROM f
+""", ("cust_churn",))
+def ml10_folds_null_labels_and_repeats(spark, sf):
+    """Fold sizes per class with NULL labels and repeated rows planted: no row is lost, every class is dealt evenly."""
+    label = F.when(F.col("id") % 11 != 0, F.col("churn"))
+    cc = fx.cust_churn(spark, sf).withColumn("churn", label)
+    folded = splits.stratified_folds(cc.unionByName(cc.where("id % 5 = 0")), "churn", ["id"], 3)
+    return folded.groupBy("churn", "fold").agg(F.count("*").alias("n_rows"))

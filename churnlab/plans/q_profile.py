@@ -37,11 +37,6 @@ def sc1_scan_customer_schema(spark, sf):
     return rnd(readers.read_parquet(spark, os.path.join(sf, "customer.parquet"), CUSTOMER_SCHEMA))
 
 
-@register("sc2_columns_table")
-def sc2_columns_table(spark, sf):
-    return profile.columns_table(fx.cust_churn(spark, sf))
-
-
 @register("in1_head10_customers", """
 SELECT id, channel_sales, round(cons_12m, 6) AS cons_12m, churn FROM cust_churn ORDER BY id LIMIT 10
 """, ("cust_churn",))
@@ -61,11 +56,6 @@ def in3_info_cust_churn(spark, sf):
     return profile.info(fx.cust_churn(spark, sf))
 
 
-@register("in4_columns_listing")
-def in4_columns_listing(spark, sf):
-    return profile.columns_table(fx.prices(spark, sf))
-
-
 @register("in5_describe_prices", _union(
     f"SELECT {i} AS position, '{c}' AS \"column\", count({c}) AS count, CAST(avg({c}) AS FLOAT) AS mean, "
     f"CAST(stddev_samp({c}) AS FLOAT) AS std, CAST(min({c}) AS FLOAT) AS min, "
@@ -128,13 +118,21 @@ def in9_correlation_cust_churn(spark, sf):
     return rnd(profile.correlation(fx.cust_churn(spark, sf), CC_NUM + ["churn"]))
 
 
-@register("in10_duplicated_price_keys", """
-SELECT id, price_date FROM (
-  SELECT id, price_date, unnest(generate_series(2, c)) AS k
-  FROM (SELECT id, price_date, count(*) AS c FROM prices GROUP BY id, price_date HAVING count(*) > 1))
+_ALL = ["id", "price_date", *PM]
+
+
+@register("in10_duplicated_price_rows", f"""
+WITH planted AS (SELECT * FROM prices UNION ALL SELECT * FROM prices WHERE id % 7 = 3
+                 UNION ALL SELECT * FROM prices WHERE id % 14 = 3)
+SELECT {", ".join(_ALL)} FROM (
+  SELECT {", ".join(_ALL)}, unnest(generate_series(2, c)) AS k
+  FROM (SELECT {", ".join(_ALL)}, count(*) AS c FROM planted GROUP BY ALL HAVING count(*) > 1))
 """, ("prices",))
-def in10_duplicated_price_keys(spark, sf):
-    return profile.duplicated_rows(fx.prices(spark, sf).select("id", "price_date"))
+def in10_duplicated_price_rows(spark, sf):
+    """Whole-row duplicates of the price history, with copies of some customers' rows planted."""
+    p = fx.prices(spark, sf)
+    planted = p.unionByName(p.where("id % 7 = 3")).unionByName(p.where("id % 14 = 3"))
+    return profile.duplicated_rows(planted.select(*_ALL))
 
 
 @register("ag9_median_prices",

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder
-    and is used as-is.  Only when nothing is configured (local tests) a fresh
-    folder under the system temp directory is created.
+    and is used as-is; without it this raises, as executors would each write to
+    their own disk.  Only with a ``local`` master (tests) a fresh folder under
+    the system temp directory is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="churnlab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -71,7 +75,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables/models inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "churnlab", name)
+    return os.path.join(base, "churnlab", *_scope, name)
+
+
+_scope: list[str] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Stages written inside the block are deleted when it ends.
+
+    Store what should outlive it (``df.write`` or an action) inside the block:
+    results that still read a stage can't be computed afterwards.
+    """
+    _scope.append(f"scope-{uuid.uuid4().hex}")
+    path = shared_path(spark, "")
+    try:
+        yield
+    finally:
+        _scope.pop()
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Scans of the three churn tables (SC1) with explicit schemas.
 
-CSV is read with a header row and a fixed ``StructType`` (no inference
-pass).  Parquet keeps its own schema; a ``schema`` argument selects and
+CSV columns are matched to the schema by the names in the header line (their
+order and extra columns don't matter); types are fixed, so there is no
+inference pass over the data.  Parquet keeps its own schema; a ``schema`` argument selects and
 checks columns so that Catalyst prunes the scan.
 """
 
@@ -14,9 +15,20 @@ from churnlab import schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SC1: CSV with header, explicit schema; malformed values become NULL (PERMISSIVE)."""
-    return (spark.read.schema(schema).option("header", True)
-                 .option("mode", "PERMISSIVE").csv(path))
+    """SC1: CSV read by header name with the schema's types; other columns are ignored.
+
+    A missing column, files whose headers differ and a value that doesn't fit
+    its column's type raise; nothing turns into NULL unseen.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    types = {f.name: f.dataType for f in schema.fields}
+    as_found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    df = (spark.read.schema(as_found).option("header", True).option("enforceSchema", False)
+               .option("mode", "FAILFAST").csv(path))
+    return df.select(*schema.names)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

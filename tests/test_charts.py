@@ -54,3 +54,9 @@ def test_density_matches_direct_gaussian_kde(spark):
     assert len(got) == 100
     for (k, x, d), gx, gd in zip(got, grid, dens):
         assert abs(x - gx) < 1e-9 and abs(d - gd) < 1e-9 * max(1.0, gd)
+
+
+def test_density_of_a_constant_column_is_null(spark):
+    df = spark.createDataFrame([(5.0,), (5.0,), (None,)], "x double")
+    got = charts.density(df, "x", gridsize=4).collect()
+    assert len(got) == 4 and all(r["density"] is None for r in got)

@@ -43,7 +43,7 @@ def test_fold_rare_threshold_75_76(spark):
     out = features.fold_rare(df, "a", 75, "null_activity", null_label="null_activity")
     counts = {r["a"]: r["count"] for r in out.groupBy("a").count().collect()}
     assert counts == {"null_activity": 78, "common": 76}
-    joined = features.fold_rare(df, "a", 75, "null_activity", null_label="null_activity", max_list=0)
+    joined = features.fold_rare(df, "a", 75, "null_activity", null_label="null_activity")
     assert {r["a"]: r["count"] for r in joined.groupBy("a").count().collect()} == counts
 
 

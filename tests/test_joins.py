@@ -13,11 +13,6 @@ def test_with_stats_attaches_one_row_and_rejects_more(spark):
         joins.with_stats(df, spark.range(2).withColumnRenamed("id", "k")).collect()
 
 
-def test_maybe_broadcast_respects_bound(spark):
-    small = spark.range(10)
-    assert joins.fits_broadcast(small, 10) and not joins.fits_broadcast(small, 9)
-
-
 def test_salted_join_equals_plain_with_hot_key(spark):
     ents = spark.createDataFrame([(k, f"e{k}") for k in range(5)], "id long, e string")
     hist = spark.createDataFrame([(0 if i % 3 else i % 5, i) for i in range(600)], "id long, v long")  # key 0 is hot

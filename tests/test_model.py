@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from churnlab.operators import metrics, model, splits
@@ -35,11 +36,36 @@ def test_param_mapping_and_grid():
 def test_cv_grid_search_and_importance(spark):
     data, cols = model.prepare_features(_data(spark, 300), ["x1", "x2", "x3"])
     folded = splits.stratified_folds(data, "churn", ["id"], 3)
-    aucs, roc = model.cross_validate(folded, cols, {"max_depth": 2, "n_estimators": 3})
+    aucs, roc, last = model.cross_validate(folded, cols, {"max_depth": 2, "n_estimators": 3})
     assert aucs.count() == 3 and roc.where("rank = 0").count() == 3
     grid = {"max_depth": [2, 3], "learning_rate": [0.1], "n_estimators": [3]}
     table, best = model.grid_search(folded, cols, grid, parallelism=2)
     assert table.count() == 2 and best["max_depth"] in (2, 3)
-    m = model.fit(folded, cols, {"max_depth": 2, "n_estimators": 3})
-    imp = {r["feature"]: r["splits"] for r in model.split_counts(m, cols).collect()}
+    imp = {r["feature"]: r["splits"] for r in model.split_counts(last, cols).collect()}
     assert imp.get("x1", 0) > 0
+
+
+def test_grid_search_with_other_fold_counts(spark):
+    data, cols = model.prepare_features(_data(spark, 200), ["x1", "x2"])
+    for k in (2, 4):
+        folded = splits.stratified_folds(data, "churn", ["id"], k)
+        table, _ = model.grid_search(folded, cols, {"max_depth": [2], "n_estimators": [2], "gamma": [4.0]}, k=k)
+        row = table.first()
+        assert row["mean_auc"] > 0.8 and "gamma" in row["unmapped"]
+
+
+def test_parameters_that_do_not_fit_raise_and_weights_count(spark):
+    for bad in ({"max_depth": 40}, {"min_child_weight": 1.5}):
+        with pytest.raises(ValueError):
+            model.xgb_to_gbt(bad)
+    assert model.unmapped_params({"gamma": 4, "max_depth": 3}) == {"gamma": 4}
+    data, cols = model.prepare_features(_data(spark, 400).select("id", "churn", "x2"), ["x2"])
+    means = [model.predict(model.fit(data, cols, {"max_depth": 2, "n_estimators": 5, "scale_pos_weight": w}), data)
+             .agg(F.avg("p_churn")).first()[0] for w in (1, 8)]
+    assert means[1] > means[0] + 0.1
+
+
+def test_nan_is_flagged_like_null(spark):
+    df = spark.createDataFrame([(1, 1.0, float("nan")), (2, 2.0, 3.0)], "id long, a double, b double")
+    out, cols = model.prepare_features(df, ["a", "b"])
+    assert cols == ["a", "b", "b_missing"] and [r["b_missing"] for r in out.orderBy("id").collect()] == [1.0, 0.0]

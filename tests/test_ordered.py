@@ -54,3 +54,14 @@ def test_modes_tie_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",), (None,), (None,), (None,)], "d string")
     m = ordered.modes(df, ["d"]).first()
     assert (m["mode"], m["cnt"]) == ("a", 2)
+
+
+def test_folds_keep_null_labels_and_do_not_depend_on_arrival(spark):
+    from churnlab.operators import splits
+    rows = [(i % 40, None if i % 7 == 0 else i % 2, float(i % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, churn int, x double")
+    seen = [sorted(map(tuple, splits.stratified_folds(df.repartition(n), "churn", ["id"], 3).collect()), key=str) for n in (1, 7)]
+    assert len(seen[0]) == 300 and seen[0] == seen[1]
+    null_ids = spark.createDataFrame([(None, 1), (1, 0), (2, 1)], "id long, churn int")
+    assert splits.stratified_folds(null_ids, "churn", ["id"], 2, unique_keys=True).count() == 3
+    assert splits.grouped_stratified_folds(null_ids, "churn", "id", 2).count() == 3

@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from churnlab import schemas
@@ -14,10 +16,15 @@ def test_csv_scan_with_schema(spark):
     d = tempfile.mkdtemp(prefix="churnlab-csv-")
     path = os.path.join(d, "churn.csv")
     with open(path, "w") as f:
-        f.write("id,churn\nabc,1\ndef,0\nghi,x\n")
+        f.write("more,churn,id\nx,1,abc\ny,0,def\nz,,ghi\n")
     df = readers.read_churn(spark, path)
     assert df.schema == schemas.CHURN_SCHEMA
     assert sorted((r["id"], r["churn"]) for r in df.collect()) == [("abc", 1), ("def", 0), ("ghi", None)]
+    for text in ("id,churn\nabc,x\n", "id,other\nabc,1\n"):
+        with open(path, "w") as f:
+            f.write(text)
+        with pytest.raises(Exception):
+            readers.read_churn(spark, path).collect()
     p = os.path.join(d, "prices.csv")
     with open(p, "w") as f:
         f.write("id,price_date,price_p1_var,price_p2_var,price_p3_var,price_p1_fix,price_p2_fix,price_p3_fix\n"
@@ -51,7 +58,7 @@ def test_model_report_end_to_end(spark):
     assert out["cv_mean_roc"].count() == 100
     assert out["importance"].count() > 0
     auc = out["holdout_auc"].first()["auc"]
-    assert 0.0 <= auc <= 1.0
+    assert 0.5 < auc <= 1.0
 
 
 def test_customer_grain_training_table(spark):
