@@ -26,7 +26,7 @@ HEADLINE = [
     "in5_describe_prices",             # exact quartiles of 6 columns
     "in6_missing_pct_prices",
     "in9_correlation_cust_churn",
-    "in10_duplicated_price_keys",
+    "in10_duplicated_price_rows",
     "ag9_median_prices",
     "cl3_negative_fixed_prices_to_median",
     "cl7_replace_outliers_zscore",
@@ -40,6 +40,8 @@ HEADLINE = [
     "e1_customer_matrix",
     "e2_price_features",
     "ml3_ml5_fit_predict_holdout",
+    "ml11_cross_validation_auc",
+    "ml13_ml15_grid_search",
 ]
 
 

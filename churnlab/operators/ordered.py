@@ -10,10 +10,8 @@ row into one task.  The helpers here keep such work distributed:
   of at most partitions + groups rows - give every partition its starting
   offset.  A hot group simply spans several range partitions.
 * ``exact_quantiles`` - linear-interpolated quantiles (numpy / pandas /
-  DuckDB ``quantile_cont``) of many columns at once: value counts per
-  (column, value) with map-side combine, range partitions with per-partition
-  totals, and a sort of only the partitions that hold the requested ranks.
-  No buffer ever holds a whole column.
+  DuckDB ``quantile_cont``) of many columns at once: a sketch brackets each
+  rank, exact counts decide inside the bracket.  No task holds a column.
 * ``modes`` - most frequent value per column, smallest value on ties,
   from a distributed value count and ``min_by``.
 """
@@ -98,6 +96,51 @@ def value_counts(df: DataFrame, columns: Sequence[str], cast: str | None = "doub
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: Accuracy of the sketch that brackets a rank: its error is 1 / SKETCH of the values.
+SKETCH = 10_000
+#: Values of one bracket that are sorted; wider brackets are narrowed by another pass.
+BRACKET_VALUES = 200_000
+
+
+def _brackets(df: DataFrame, columns: Sequence[str], ranks: dict) -> dict:
+    """{(column, p): (n, low, high)}: values between which the two ranks around (n - 1) * p lie.
+
+    Each pass is one aggregation to a single row: counts, and the sketch's
+    values a little below and above each rank, taken among the values inside
+    the bracket so far (with how many lie below it).
+    """
+    margin = 2.0 / SKETCH
+    row = df.agg(*[x for c in columns for x in (F.count(F.col(c)), F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double")))]).first()
+    ends = {c: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(columns)}
+    out = {(c, p): ends[c] for c, p in ranks}
+    inside = {k: v[0] for k, v in out.items()}
+    below = dict.fromkeys(out, 0)
+    for _ in range(4):
+        wide = [k for k in out if inside[k] > BRACKET_VALUES and out[k][1] < out[k][2]]
+        if not wide:
+            break
+        aggs = []
+        for c, p in wide:
+            n, low, high = out[c, p]
+            x = F.col(c).cast("double")
+            at = ((n - 1) * p - below[c, p]) / inside[c, p]
+            aggs.append(F.percentile_approx(F.when((x >= low) & (x <= high), x),
+                                            [min(max(at - margin, 0.0), 1.0), min(max(at + margin, 0.0), 1.0)], SKETCH))
+        found = df.agg(*aggs).first()
+        cuts = {k: (out[k][0], found[i][0], found[i][1]) for i, k in enumerate(wide)}
+        sizes = df.agg(*[x for (c, p) in wide for x in (
+            F.count_if(F.col(c).cast("double") < cuts[c, p][1]), F.count_if(F.col(c).cast("double").between(cuts[c, p][1], cuts[c, p][2])))]).first()
+        shrunk = False
+        for i, k in enumerate(wide):
+            lower, within = sizes[2 * i], sizes[2 * i + 1]
+            first, last = math.floor((cuts[k][0] - 1) * k[1]), math.ceil((cuts[k][0] - 1) * k[1])
+            if lower <= first and last < lower + within and within < inside[k]:     # else the bracket stays as it was
+                out[k], below[k], inside[k], shrunk = cuts[k], lower, within, True
+        if not shrunk:
+            break
+    return out
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles, long form: (column, q_<p>...) one row per column.
@@ -106,43 +149,31 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     v[floor r] + (v[ceil r] - v[floor r]) * (r - floor r).  Columns with no
     value give NULL.
 
-    Steps: value counts per (column, value) (map-side combine); a range-
-    partitioned parquet stage of them; per-(partition, column) totals (a
-    small table) locate the partitions holding the requested ranks; only
-    those partitions - at most 2 x probs x columns - are sorted to find the
-    values.  No task ever holds a whole column.
+    A sketch brackets each rank between two values; one more pass counts, with
+    map-side combine, the values below the bracket and each value inside it,
+    and only those are put in order.  Nothing is written, no column is
+    shuffled whole, and the answer is exact because the counts are.  ``df`` is
+    read two to four times: pass a stored table if it is costly.
     """
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    vc = value_counts(df, columns)
-    n = _num_partitions(df, partitions)
-    ranged = materialize(vc.repartitionByRange(n, F.col("column"), F.col("value"))
-                           .withColumn("_pid", F.spark_partition_id()), "quantile_ranges")
-    totals = ranged.groupBy("_pid", "column").agg(F.sum("cnt").alias("_t"))
-    before = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_pid", "column", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"),
-                         F.sum("_t").over(Window.partitionBy("column")).alias("_n"))
-    holds = F.lit(False)
-    for p in probs:
-        r = (F.col("_n") - 1) * F.lit(float(p))
-        for k in (F.floor(r), F.ceil(r)):
-            holds = holds | ((F.col("_o") <= k) & (k < F.col("_o") + F.col("_t")))
-    # at most 2 x probs partitions per column: a bounded broadcast
-    need = offs.where(holds).select("_pid", "column", "_o", "_n")
-    sel = ranged.join(F.broadcast(need), ["_pid", "column"])
-    w = Window.partitionBy("_pid", "column").orderBy("value").rowsBetween(Window.unboundedPreceding,
-                                                                          Window.currentRow)
-    j = sel.withColumn("cum_cnt", F.col("_o") + F.sum("cnt").over(w))
-    aggs = []
-    for p, nm in zip(probs, names):
-        r = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(r), F.ceil(r)
-        aggs += [F.min(F.when(F.col("cum_cnt") > lo, F.col("value"))).alias(f"_lo_{nm}"),
-                 F.min(F.when(F.col("cum_cnt") > hi, F.col("value"))).alias(f"_hi_{nm}"),
-                 F.first(r - lo).alias(f"_fr_{nm}")]
-    g = j.groupBy("column").agg(*aggs)
-    res = g.select("column", *[(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}"))
-                               .alias(nm) for nm in names])
-    present = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "column string, _pos int")
+    asked = {(c, p): nm for c in columns for p, nm in zip(probs, names)}
+    spark = df.sparkSession
+    present = spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "column string, _pos int")
+    rows = [(c, asked[c, p], n, low, high, float((n - 1) * p))
+            for (c, p), (n, low, high) in _brackets(df, columns, asked).items() if n]
+    # columns x probabilities rows
+    ranks = F.broadcast(spark.createDataFrame(rows, "column string, name string, n long, low double, high double, r double"))
+    near = (to_long(df, columns).where(F.col("value").isNotNull()).join(ranks, "column")
+            .where((F.col("value") <= F.col("high")) | F.isnan("high"))
+            .withColumn("value", F.when(F.col("value") >= F.col("low"), F.col("value"))))
+    counts = near.groupBy("column", "name", "r", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    upto = (Window.partitionBy("column", "name").orderBy(F.col("value").asc_nulls_first())
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cum = counts.withColumn("cum", F.sum("cnt").over(upto))
+    low = F.min(F.when(F.col("cum") > F.floor("r"), F.col("value")))
+    high = F.min(F.when(F.col("cum") > F.ceil("r"), F.col("value")))
+    each = cum.groupBy("column", "name").agg((low + (high - low) * F.first(F.col("r") - F.floor("r"))).alias("q"))
+    res = each.groupBy("column").agg(*[F.max(F.when(F.col("name") == nm, F.col("q"))).alias(nm) for nm in names])
     return present.join(res, "column", "left").orderBy("_pos").drop("_pos")
 
 

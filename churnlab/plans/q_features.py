@@ -129,12 +129,17 @@ def fe7_log_features(spark, sf):
     return f32(features.log_features(fx.cust_churn(spark, sf).select("id", *_LOG), _LOG))
 
 
-@register("fe8_drop_correlated")
+@register("fe8_drop_correlated", """
+SELECT id, channel_sales, activity_new, campaign_disc_ele, CAST(cons_12m AS FLOAT) AS cons_12m, date_activ, date_end,
+       date_modif_prod, date_renewal, nb_prod_act, CAST(cons_last_month AS FLOAT) AS cons_last_month,
+       CAST(imp_cons AS FLOAT) AS imp_cons, CAST(margin_net_pow_ele AS FLOAT) AS margin_net_pow_ele, has_gas, churn
+FROM cust_churn
+""", ("cust_churn",))
 def fe8_drop_correlated(spark, sf):
     """Drops the later column of each pair with |r| > 0.8 (decided from one correlation aggregation)."""
     cc = fx.cust_churn(spark, sf)
     num = ["cons_12m", "nb_prod_act", "cons_last_month", "imp_cons", "margin_net_pow_ele", "net_margin"]
-    return features.drop_correlated(cc, num, threshold=0.8)
+    return f32(features.drop_correlated(cc, num, threshold=0.8))
 
 
 @register("jo3_same_row_columns", """

@@ -65,3 +65,18 @@ def test_folds_keep_null_labels_and_do_not_depend_on_arrival(spark):
     null_ids = spark.createDataFrame([(None, 1), (1, 0), (2, 1)], "id long, churn int")
     assert splits.stratified_folds(null_ids, "churn", ["id"], 2, unique_keys=True).count() == 3
     assert splits.grouped_stratified_folds(null_ids, "churn", "id", 2).count() == 3
+
+
+def test_quantiles_through_narrowed_brackets(spark, monkeypatch):
+    """Near-unique, heavily tied, constant and empty columns, with brackets narrowed again and again."""
+    from churnlab.operators import ordered
+    monkeypatch.setattr(ordered, "BRACKET_VALUES", 50)
+    monkeypatch.setattr(ordered, "SKETCH", 100)
+    rnd = random.Random(3)
+    rows = [(rnd.gauss(0, 1), float(rnd.randint(0, 3)), 7.0, None, None if i % 3 else rnd.random()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["column"]: list(r)[1:] for r in ordered.exact_quantiles(df, list("abcde"), probs).collect()}
+    for i, c in enumerate("abcde"):
+        v = [r[i] for r in rows if r[i] is not None]
+        assert got[c] == ([None] * 6 if not v else [float(np.quantile(v, p)) for p in probs]) or np.allclose(got[c], np.quantile(v, probs), rtol=1e-12)
