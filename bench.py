@@ -41,7 +41,6 @@ HEADLINE = [
     "e2_price_features",
     "ml3_ml5_fit_predict_holdout",
     "ml11_cross_validation_auc",
-    "ml13_ml15_grid_search",
 ]
 
 
