@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained: one on windows of ordinary texts, one
 on toxic text - the fragments (runs of character 5-grams inside words) whose
-document frequency in toxic texts is far above that in ordinary ones.  Every
-whole text is cut at word ends into windows of about ``window`` characters
+document frequency in toxic texts is above that in ordinary ones beyond chance, however
+rare they are; all of them are held.  If none is, toxic windows train that
+dictionary too.  Every whole text is cut at word ends into windows of about ``window`` characters
 and each window is compressed twice, once with the ordinary dictionary (its
 beginning repeated at the end) and once with the toxic one behind it; both
 have the same size, the ordinary part lies at the same distance, and the match
@@ -16,12 +17,13 @@ and of at most ``max_chars`` characters, taken by a hash of the id; only this
 sample reaches the driver.  Scoring is one narrow pass over whole texts.
 
 Cases: null and empty texts are one empty window; without labels of both
-classes, or if no fragment stands out, every score is the share of label 1
+classes in both halves of the sample every score is the share of label 1
 among the labels (0 with none); repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,6 +36,11 @@ from churnlab.llm.common import labelled_sample, map_texts
 PER_CLASS = 2_400
 MAX_CHARS = 1 << 16
 WINDOW = 80
+#: A fragment's least log ratio, and how many 5-grams are expected to stand out by chance.
+LEAST = 1.5
+BY_CHANCE = 1.0
+#: Bytes of a dictionary trained on windows.
+TRAINED = 1 << 15
 GRAM = 5
 #: Bytes of the ordinary dictionary behind every window: zstandard looks for no match in a
 #: block's last bytes, and a block that saves next to nothing is stored raw.
@@ -75,15 +82,23 @@ def _grams(text: str) -> set[str]:
     return out
 
 
-def standing_out(toxic: list[str], ordinary: list[str], least: float = 3.5, least_share: float = 0.06) -> set[str]:
-    """5-grams whose log ratio of document frequencies reaches ``least``."""
+def _tail(k: int, b: int, share: float) -> float:
+    """Chance that ``k`` or more of ``k + b`` texts are toxic if each is with probability ``share``."""
+    n = k + b
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1)
+                        + j * math.log(share) + (n - j) * math.log1p(-share)) for j in range(k, n + 1))
+
+
+def standing_out(toxic: list[str], ordinary: list[str], least: float = LEAST, by_chance: float = BY_CHANCE) -> set[str]:
+    """5-grams of 3 toxic texts or more whose log ratio of document frequencies reaches ``least`` beyond chance."""
     a, b = Counter(), Counter()
     for texts, c in ((toxic, a), (ordinary, b)):
         for t in texts:
             c.update(_grams(t))
     n, m = len(toxic), len(ordinary)
-    return {g for g, k in a.items() if k >= max(3, least_share * n)
-            and np.log((k + .5) / (n + 1)) - np.log((b[g] + .5) / (m + 1)) > least}
+    tested = {g: k for g, k in a.items() if k >= 3}
+    return {g for g, k in tested.items() if np.log((k + .5) / (n + 1)) - np.log((b[g] + .5) / (m + 1)) > least
+            and _tail(k, b[g], n / (n + m)) * len(tested) < by_chance}
 
 
 def fragments(text: str, grams: set[str]) -> list[str]:
@@ -105,18 +120,18 @@ def fragments(text: str, grams: set[str]) -> list[str]:
     return [r.replace("^", " ").replace("$", " ") for r in out]
 
 
-def commonest(samples: list[bytes], size: int) -> bytes:
+def commonest(samples: list[bytes], size: int | None = None) -> bytes:
     """Dictionary content from short samples: the distinct ones, the commonest last (nearest to the text).
 
-    zstandard's own trainer is made for longer samples and drops most of these.
+    All of them without a ``size``.  zstandard's own trainer is made for longer samples and drops most of these.
     """
     out = b""
     for s, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
         if s not in out:
             out = s + out
-        if len(out) >= size:
-            break
-    return out[-size:]
+        if size is not None and len(out) >= size:
+            return out[-size:]
+    return out
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -152,11 +167,14 @@ class ToxicityModel:
         if "_ready" not in self.__dict__:
             import zstandard as z
 
-            how = z.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=5, target_length=64,
-                                              strategy=z.STRATEGY_LAZY2, write_checksum=False, write_content_size=False,
-                                              write_dict_id=False)
+            # both dictionaries and a window stay in reach, whatever the toxic one's size
+            log = max(16, (len(self.ordinary) + len(self.toxic)).bit_length())
+            how = z.ZstdCompressionParameters(window_log=log + 1, hash_log=log, chain_log=log, search_log=6, min_match=5,
+                                              target_length=64, strategy=z.STRATEGY_LAZY2, write_checksum=False,
+                                              write_content_size=False, write_dict_id=False)
             made = []
-            for tail in (self.ordinary[:len(self.toxic)], self.toxic):
+            again = self.ordinary * (len(self.toxic) // max(1, len(self.ordinary)) + 1)
+            for tail in (again[:len(self.toxic)], self.toxic):
                 d = z.ZstdCompressionDict(self.ordinary + tail, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=how)
                 made.append(z.ZstdCompressor(dict_data=d, compression_params=how).compress)
@@ -196,6 +214,12 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 40)
     return b
 
 
+def _pieces(texts: list[str], seed: int) -> list[bytes]:
+    """At most 30,000 windows of the texts, the bound of a trained dictionary's samples."""
+    pieces = [w for t in texts for w in windows(t)]
+    return [pieces[i] for i in np.random.default_rng(seed).permutation(len(pieces))[:30_000]]
+
+
 def fit_texts(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> ToxicityModel:
     """Dictionaries from one half of the texts, the curve from the other."""
     model = ToxicityModel(share)
@@ -207,11 +231,8 @@ def fit_texts(texts: list[str], labels: np.ndarray, share: float, seed: int = 5)
         return model
     grams = standing_out(toxic, ordinary)
     found = [f.encode() for t in toxic for f in fragments(t, grams)]
-    if not found:
-        return model
-    pieces = [w for t in ordinary for w in windows(t)]
-    pieces = [pieces[i] for i in np.random.default_rng(seed).permutation(len(pieces))[:30_000]]
-    model.toxic, model.ordinary = commonest(found, 1024), trained(pieces, 1 << 15)
+    model.ordinary = trained(_pieces(ordinary, seed), TRAINED)
+    model.toxic = commonest(found) if found else trained(_pieces(toxic, seed), TRAINED)
     x = np.array([model.row(t) for t, h in zip(texts, half, strict=True) if not h])
     model.middle, model.spread = x.mean(0), x.std(0) + 1e-6
     w = np.where(rest == 1, share / max(1, (rest == 1).sum()), (1 - share) / max(1, (rest == 0).sum())) * len(rest)

@@ -60,3 +60,33 @@ def test_odd_rows(spark):
     assert X.score(none, model).count() == 0
     blank = X.fit(none, labels.where(F.lit(False)))
     assert {r.score for r in X.score(docs, blank).collect()} == {0.0}
+
+
+def _wide(terms, per_term, seed=3):
+    rnd = random.Random(seed)
+    word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    plain = [word("aeinrst", rnd.randint(3, 8)) for _ in range(300)]
+    bad = [word("bcdfghjklmpquvwxyz", 9) for _ in range(terms)]
+    say = lambda: [rnd.choice(plain) for _ in range(25)]
+    toxic = [" ".join([*say(), t, *say()]) for t in bad for _ in range(per_term)]
+    texts = toxic + [" ".join(say() + say()) for _ in toxic]
+    return texts, np.array([1.0] * len(toxic) + [0.0] * len(toxic))
+
+
+def test_wide_vocabulary_stands_out():
+    texts, labels = _wide(30, 40)          # every term in 3.3 % of the toxic texts
+    model = X.fit_texts(texts, labels, .1)
+    new, truth = _wide(30, 40)
+    assert len(model.toxic) > 30 * 9
+    assert np.mean((model.score(new) >= .3) == truth) > .97
+    many, labels = _wide(150, 40)          # more fragments than 1,024 bytes hold
+    model = X.fit_texts(many, labels, .1)
+    assert len(model.toxic) > 1300 and np.mean((model.score(many) >= .3) == labels) > .97
+
+
+def test_windows_when_no_fragment_stands_out():
+    texts, labels = _wide(300, 3)
+    model = X.fit_texts(texts, labels, .1)
+    assert not X.standing_out([t for t, y in zip(texts, labels, strict=True) if y], [t for t, y in zip(texts, labels, strict=True) if not y])
+    score = model.score(texts)
+    assert model.toxic and score[labels == 1].mean() > score[labels == 0].mean() + .2
