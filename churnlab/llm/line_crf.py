@@ -38,6 +38,8 @@ SIZES = (5, 4, 3, 3, 3, 2, 2, 2, 3, 4)
 _AT = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 N_VALUES = sum(SIZES)
 _NOTICE = re.compile(r"licen[sc]ed? |copyright|all rights reserved|cookie|privacy policy|terms of|click here|subscribe|https?://", re.I)
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 _BLANK = " \t\n\x0b\x0c\r"
 
 SAMPLE = 2_000
@@ -58,13 +60,13 @@ def line_features(text: str) -> tuple[list[tuple[int, ...]], list[str]]:
         size, blanks = len(x), x.count(" ")
         data = x.encode()
         symbols = sum(map(data.count, (b"#", b"*", b"$", b"%", b"&", b"<", b">")))
-        bars, cap = data.count(b"|"), 0
-        if size <= 400 or not x.islower():
-            up = sum(map(str.isupper, x[:400:3]))
-            cap = 3 * up / min(size, 400)
+        bars = data.count(b"|")
+        up = len(data) - len(data.translate(None, _CAPITALS))
+        if len(data) != size:
+            up += sum(map(str.isupper, _BEYOND_ASCII.findall(x)))
         digits = len(data) - len(data.translate(None, b"0123456789"))
         out.append((_step(blanks, 0, 2, 9, 29), _step(symbols / size, 0, .02, .1), _step(bars / (blanks + 1), 0, .2),
-                    _step(cap, .2, .6), _step(digits / size, .02, .3), int(x[-1] in ".!?:;\"'"),
+                    _step(up / size, .2, .6), _step(digits / size, .02, .3), int(x[-1] in ".!?:;\"'"),
                     int(_NOTICE.search(x) is not None), int(seen[x] > 1), 0 if i == 0 else 2 if i == last else 1,
                     _step(size, 20, 80, 300)))
     return out, lines

@@ -111,3 +111,11 @@ def test_held_out_quality(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_capitals_of_whole_lines():
+    def cap(t):
+        return line_crf.line_features(t)[0][0][3]
+    calm, loud = "quiet words here " * 40, "SHOUTING WORDS HERE " * 40
+    assert cap(calm + loud * 4) == 2 and cap(loud[:400] + calm * 20) == 0
+    assert cap("É" * 500) == 2 and cap("é" * 500) == 0 and cap("aBc") == 1
