@@ -9,12 +9,19 @@ of a batch side by side (line 1 of each, line 2 of each, ...).
 
 No line labels exist, so training writes its own on a bounded sample of
 documents (about ``sample`` texts, taken by a hash of the id): a line is
-boilerplate if it occurs in the share ``often`` of the sampled texts (3 at least; equal texts count once), if it is a
-licence or navigation line, or if symbols, table bars or shouting fill it.
+boilerplate if it is frequent, if it is a licence or navigation line, or if
+symbols, table bars or shouting fill it.
 The field learns from these and spreads them along neighbouring lines.
 
+A line with a blank is frequent if it occurs in the share ``often`` of all
+texts of the table, and in ``LEAST_TEXTS`` at least; equal texts count once.
+The counts are a shuffle of 16 bytes a line over the whole table.  As a share
+decides, there are at most (mean number of lines of a text / ``often``)
+frequent lines however large the table is; their 8-byte hashes go to every
+worker, and the flag is a feature in training and in decoding.
+
 The base rules are plain counts over the whole text, see :func:`base_counts`.
-One narrow pass after training, no shuffle.
+One narrow pass after training.
 
 Cases: null and empty texts have no words and fail the base rule; a table
 without any line trains a field that calls everything content; repeated rows
@@ -24,7 +31,9 @@ get equal rows.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Set
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,8 +42,9 @@ from pyspark.sql import functions as F
 from churnlab.llm import textstats as S
 from churnlab.llm.common import by_hash, map_texts
 
-#: Number of values of each line feature: words, symbols, bars, capitals, digits, ending, notice, repeated, place, length.
-SIZES = (5, 4, 3, 3, 3, 2, 2, 2, 3, 4)
+#: Number of values of each line feature: words, symbols, bars, capitals, digits, ending, notice, repeated (1: in the text,
+#: 2: frequent in the table, 3: both), place, length.
+SIZES = (5, 4, 3, 3, 3, 2, 2, 4, 3, 4)
 _AT = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 N_VALUES = sum(SIZES)
 _NOTICE = re.compile(r"licen[sc]ed? |copyright|all rights reserved|cookie|privacy policy|terms of|click here|subscribe|https?://", re.I)
@@ -43,14 +53,22 @@ _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 _BLANK = " \t\n\x0b\x0c\r"
 
 SAMPLE = 2_000
+OFTEN = 2e-5
+LEAST_TEXTS = 10
+#: Prior weight of boilerplate for frequent lines: a sample may hold few or none of them.
+FREQUENT = 8.0
 
 
 def _step(x: float, *cuts: float) -> int:
     return sum(x > c for c in cuts)
 
 
-def line_features(text: str) -> tuple[list[tuple[int, ...]], list[str]]:
-    """Feature values of each line with a word, and the lines."""
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def line_features(text: str, frequent: Set[int] = frozenset()) -> tuple[list[tuple[int, ...]], list[str]]:
+    """Feature values of each line with a word, and the lines; ``frequent``: hashes of the table's frequent lines."""
     lines = [s for x in text.split("\n") if (s := x.strip(_BLANK))]
     seen: dict[str, int] = {}
     for x in lines:
@@ -67,7 +85,8 @@ def line_features(text: str) -> tuple[list[tuple[int, ...]], list[str]]:
         digits = len(data) - len(data.translate(None, b"0123456789"))
         out.append((_step(blanks, 0, 2, 9, 29), _step(symbols / size, 0, .02, .1), _step(bars / (blanks + 1), 0, .2),
                     _step(up / size, .2, .6), _step(digits / size, .02, .3), int(x[-1] in ".!?:;\"'"),
-                    int(_NOTICE.search(x) is not None), int(seen[x] > 1), 0 if i == 0 else 2 if i == last else 1,
+                    int(_NOTICE.search(x) is not None), (seen[x] > 1) + 2 * (blanks > 0 and bool(frequent) and _hash(data) in frequent),
+                    0 if i == 0 else 2 if i == last else 1,
                     _step(size, 20, 80, 300)))
     return out, lines
 
@@ -78,6 +97,8 @@ class LineField:
 
     unary: np.ndarray
     chain: np.ndarray
+    #: Hashes of the lines that are frequent in the table.
+    frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def emissions(self, values: np.ndarray) -> np.ndarray:
         return self.unary[values + _AT].sum(1)
@@ -122,7 +143,9 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 def train(values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.3,
           keep: float = 1e-3) -> LineField:
     """Maximum likelihood by gradient steps with adaptive sizes; forward-backward over all texts at once."""
-    field = LineField(np.zeros((N_VALUES, 2)), np.zeros((2, 2)))
+    prior = np.zeros((N_VALUES, 2))
+    prior[_AT[7] + 2:_AT[7] + 4, 1] = FREQUENT
+    field = LineField(prior, np.zeros((2, 2)))
     if not len(labels):
         return field
     order, starts, active = _steps(sizes)
@@ -146,7 +169,7 @@ def train(values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int
         node = np.exp(ahead + behind - total[:, None])
         have_u = np.stack([np.bincount(flat, np.repeat(node[:, k], values.shape[1]), N_VALUES) for k in (0, 1)], 1)
         edge = ahead[at - 1][:, :, None] + field.chain + (emit[at] + behind[at])[:, None, :] - total[at][:, None, None]
-        gu = (want_u - have_u) / len(labels) - keep * field.unary
+        gu = (want_u - have_u) / len(labels) - keep * (field.unary - prior)
         gc = (want_c - np.exp(edge).sum(0)) / len(labels) - keep * field.chain
         su += gu * gu
         sc += gc * gc
@@ -154,33 +177,60 @@ def train(values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int
     return field
 
 
+class _Hashes:
+    """A text's hash and the hashes of its distinct lines with a blank."""
+
+    def __call__(self, texts: list[str]) -> dict[str, object]:
+        lines = [{s for x in t.split("\n") if " " in (s := x.strip(_BLANK))} for t in texts]
+        return {"text_hash": [_hash(t.encode()) for t in texts], "line": [[_hash(x.encode()) for x in s] for s in lines]}
+
+
+def frequent_lines(docs: DataFrame, n: int, often: float = OFTEN, least: int = LEAST_TEXTS, text: str = "text") -> np.ndarray:
+    """Sorted hashes of the lines that occur in the share ``often`` of ``n`` texts, and in ``least`` different ones."""
+    pairs = map_texts(docs, _Hashes(), "text_hash long, line array<long>", (), text)
+    # distinct pairs first: copies of one text don't make its lines frequent, and no line's texts meet in one task
+    counts = pairs.select("text_hash", F.explode("line").alias("line")).distinct().groupBy("line").count()
+    rows = counts.where(F.col("count") >= max(least, often * n)).select("line").toArrow()
+    return np.sort(rows.column("line").to_numpy())
+
+
+def _as_set(task: _Lines | _Judge) -> frozenset[int]:
+    """The task's frequent hashes as a set, made once a worker."""
+    if "_set" not in task.__dict__:
+        task._set = frozenset(task.frequent.tolist())
+    return task._set
+
+
 class _Lines:
     """Features and lines of the sampled texts."""
 
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = frequent
+
     def __call__(self, texts: list[str]) -> dict[str, object]:
-        found = [line_features(t) for t in texts]
+        frequent = _as_set(self)
+        found = [line_features(t, frequent) for t in texts]
         return {"values": [bytes(v for row in f for v in row) for f, _ in found], "lines": [x for _, x in found]}
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, often: float = 0.005) -> LineField:
+def fit(docs: DataFrame, sample: int = SAMPLE, often: float = OFTEN) -> LineField:
     """A field trained on about ``sample`` documents; see the module's docstring for its labels."""
+    n = docs.count()
+    frequent = frequent_lines(docs, n, often)
     rows = by_hash(docs.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("_all", F.lit(0)),
-                   {0: max(1, docs.count())}, "_all", sample)
-    got = map_texts(rows, _Lines(), "values binary, lines array<string>", ()).select(
+                   {0: max(1, n)}, "_all", sample)
+    got = map_texts(rows, _Lines(frequent), "values binary, lines array<string>", ()).select(
         "values", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines")).collect()
-    # copies of one text don't make its lines frequent
     texts = list({tuple(r["lines"]): r for r in got if r["lines"]}.values())
     if not texts:
-        return LineField(np.zeros((N_VALUES, 2)), np.zeros((2, 2)))
+        trained = train(np.zeros((0, len(SIZES)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return LineField(trained.unary, trained.chain, frequent)
     texts.sort(key=lambda r: r["lines"])
-    keys = [k for r in texts for k in set(r["lines"])]
-    distinct, n = np.unique(np.array(keys, np.int64), return_counts=True)
     values = np.concatenate([np.frombuffer(r["values"], np.uint8).reshape(-1, len(SIZES)) for r in texts]).astype(np.int64)
-    lines = np.concatenate([np.array(r["lines"], np.int64) for r in texts])
-    frequent = n[np.searchsorted(distinct, lines)] >= max(3, often * len(texts))
     noisy = (values[:, 1] == 3) | (values[:, 2] == 2) | (values[:, 3] == 2) | (values[:, 6] == 1)
     sizes = np.array([len(r["lines"]) for r in texts])
-    return train(values, sizes, (frequent & (values[:, 0] > 0) | noisy).astype(np.int64))
+    trained = train(values, sizes, ((values[:, 7] >= 2) | noisy).astype(np.int64))
+    return LineField(trained.unary, trained.chain, frequent)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -195,10 +245,12 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 class _Judge:
     def __init__(self, field: LineField):
         self.field = field
+        self.frequent = field.frequent
 
     def __call__(self, texts: list[str]) -> dict[str, object]:
         base = [base_counts(t) for t in texts]
-        found = [line_features(t) for t in texts]
+        frequent = _as_set(self)
+        found = [line_features(t, frequent) for t in texts]
         sizes = np.array([len(x) for _, x in found])
         rows = [v for f, _ in found for v in f]
         marks = np.zeros(0, np.int8)

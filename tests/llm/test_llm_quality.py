@@ -119,3 +119,17 @@ def test_capitals_of_whole_lines():
     calm, loud = "quiet words here " * 40, "SHOUTING WORDS HERE " * 40
     assert cap(calm + loud * 4) == 2 and cap(loud[:400] + calm * 20) == 0
     assert cap("É" * 500) == 2 and cap("é" * 500) == 0 and cap("aBc") == 1
+
+
+def test_line_frequency_over_the_whole_table(spark):
+    rnd = random.Random(4)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(9)) + "."
+    footer, copied = "we hope that you enjoyed reading this page today.", prose()
+    texts = ["\n".join([prose() for _ in range(4)] + [footer] * (i % 500 == 0)) for i in range(6000)] + [copied + "\n" + prose()] * 50
+    df = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    hashes = line_crf.frequent_lines(df, len(texts))
+    assert hashes.tolist() == [line_crf._hash(footer.encode())]      # 0.2 % of the texts; copies count once
+    field = line_crf.fit(df, sample=len(texts))
+    some = df.where("doc_id % 500 = 0 AND doc_id < 6000 OR doc_id = 6001")
+    got = {r.doc_id: r.line_labels for r in line_crf.judge(some, field, keep=("doc_id",)).collect()}
+    assert all(v == ([0, 0] if k == 6001 else [0, 0, 0, 0, 1]) for k, v in got.items()) and len(got) == 13
