@@ -5,16 +5,18 @@ linear walk over the whole text.  A skip-chain conditional random field then
 looks at what the patterns left: its nodes are the base spans and the other
 tokens that could be personal data (groups of 7 or more digits, tokens with
 ``@``, and tokens equal to the name part of an address in the text); its edges
-link neighbouring nodes and, as skip edges, each node to the next one that
-shares its key - the last seven digits or the name part.  Labels are "none"
-and the four kinds.  Loopy belief propagation runs over all texts of a batch
-at once with base spans fixed to their kind, so a token that reads like a
-known entity elsewhere in the document takes its label; other tokens labelled
-with a kind become additional spans.  Skip edges join successive occurrences,
-so a token repeated n times makes n - 1 of them.
+link neighbouring nodes and, as skip edges, all nodes that share a key - the
+last seven digits or the name part - to one shared node, so n occurrences make
+n of them.  Labels are "none" and the four kinds.  Loopy belief propagation
+runs over all texts of a batch at once, until each text's messages stand still
+(or ``ROUNDS``, should its loops never do), with base spans and the shared
+nodes of their keys fixed to their kinds.  So a token that reads like a known
+entity anywhere in the document takes its label, however often it is repeated;
+other tokens labelled with a kind become additional spans.
 
 Training maximises the pseudo-likelihood of the base labels, given features of
-a token's shape (digits, separators, check digit, ...), on about ``sample`` documents taken
+a token's shape (digits, separators, check digit, ...) and of the neighbours
+(by a chain edge, and the last and next occurrence of its key), on about ``sample`` documents taken
 by a hash of the id; skip weights have a prior that favours equal labels.
 Everything else is one narrow pass, no shuffle.
 
@@ -37,6 +39,9 @@ from churnlab.llm.common import aliased, by_hash, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 3_000
+ROUNDS = 1_000
+#: Holds a shared node to its kinds against the messages of any number of occurrences.
+FIXED = 1e9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -192,32 +197,68 @@ class SkipChain:
         np.add.at(out, row, self.unary[flat])
         return out
 
-    def beliefs(self, emit: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = 12) -> np.ndarray:
-        """Marginals by loopy propagation; edges: from, to (from < to), 1 for skip edges."""
+    def beliefs(self, emit: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = ROUNDS,
+                text: np.ndarray | None = None) -> np.ndarray:
+        """Marginals by loopy propagation; edges: from, to, 1 for skip edges; ``text``: number of each edge's text.
+
+        A text's messages are sent until none of them changes.
+        """
         a, b, skip = edges
         src, dst = np.r_[a, b], np.r_[b, a]
         m = len(a)
+        text = np.zeros(m, np.int64) if text is None else text
+        of = np.r_[text, text]
         pair = np.where(np.r_[skip, skip][:, None, None] == 1, self.skip, self.chain)
         pair[m:] = pair[m:].transpose(0, 2, 1)
         back = np.r_[np.arange(m, 2 * m), np.arange(m)]
         msg = np.zeros((2 * m, 5))
-        for _ in range(rounds):
+        at = np.arange(2 * m)
+        for r in range(rounds):
+            if not len(at):
+                break
             belief = emit.copy()
-            np.add.at(belief, dst, msg)
-            into = (belief[src] - msg[back])[:, :, None] + pair
+            np.add.at(belief, dst[at], msg[at])
+            into = (belief[src[at]] - msg[back[at]])[:, :, None] + pair[at]
             top = into.max(1, keepdims=True)
             new = np.log(np.exp(into - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            change = np.abs(new - msg).max() if m else 0.0
-            msg = .5 * msg + .5 * new if _ else new
-            if change < 1e-4:
-                break
+            moving = np.zeros(int(text.max()) + 1, bool)
+            moving[of[at[np.abs(new - msg[at]).max(1) >= 1e-4]]] = True
+            msg[at] = .5 * msg[at] + .5 * new if r else new
+            at = at[moving[of[at]]]
         belief = emit.copy()
         np.add.at(belief, dst, msg)
         belief = np.exp(belief - belief.max(1, keepdims=True))
         return belief / belief.sum(1, keepdims=True)
 
 
+def graph_of(nodes: list[Nodes]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Edges for :meth:`SkipChain.beliefs`, the emissions of the shared nodes (numbered behind all others), texts of edges.
+
+    Nodes of one key are linked to its shared node, others to their neighbour.
+    """
+    edges: list[tuple[int, int, int, int]] = []
+    shared: list[np.ndarray] = []
+    at, total = 0, sum(len(n.keys) for n in nodes)
+    for t, n in enumerate(nodes):
+        groups: dict[str, list[int]] = {}
+        for i, key in enumerate(n.keys):
+            if key:
+                groups.setdefault(key, []).append(i)
+            if i and not (key and n.keys[i - 1] == key):
+                edges.append((at + i - 1, at + i, 0, t))
+        for members in groups.values():
+            if len(members) > 1:
+                edges += [(total + len(shared), at + i, 1, t) for i in members]
+                known = [n.base[i] + 1 for i in members if n.base[i] >= 0]
+                emit = np.full(5, -FIXED if known else 0.0)
+                emit[known] = FIXED
+                shared.append(emit)
+        at += len(n.keys)
+    a, b, kind, text = np.array(edges, np.int64).reshape(-1, 4).T
+    return (a, b, kind), np.array(shared).reshape(-1, 5), text
+
+
 def edges_of(nodes: list[Nodes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chain edges between neighbours and skip edges between successive equal keys."""
     a: list[int] = []
@@ -285,7 +326,8 @@ def find(texts: list[str], field: SkipChain, least: float = 0.5) -> list[list[tu
         return out
     emit[some] = -50.0
     emit[some, fixed[some]] = 50.0
-    p = field.beliefs(emit, edges_of(nodes))
+    edges, shared, text = graph_of(nodes)
+    p = field.beliefs(np.r_[emit, shared], edges, text=text)
     at = 0
     for spans, n in zip(out, nodes, strict=True):
         for i, (a, b) in enumerate(n.spans):

@@ -92,3 +92,26 @@ def test_query_and_odd_rows(spark, tmp_path):
     assert masked.columns == df.columns
     assert {r.text for r in masked.where("doc_id = 1").collect()} == {"[EMAIL]@q.r"}
     assert [r.text for r in masked.where(f"doc_id = {len(SAMPLES)}").collect()] == [None]
+
+
+def test_consistency_over_many_repeats():
+    call = "Call +49 151 2345678 now."
+    train = [call, "mail a.b@c.de", "host 10.0.0.1", "card 4111 1111 1111 1111", "id 99887766554", "no 12345678", "ticket 5550001112", "desk 0160 9876543"] * 20
+    field = pii.train([pii.nodes_of(t, pii.base_spans(t)) for t in train])
+    again = "Or 0151 2345678, word word. " * 50
+    mixed = "Or 0151 2345678, word. Ref 99887766554. " * 50
+    mail = "Ask jane.roe or desk 0160 9876543. " * 50
+    texts = [call + " " + again, again + call, again + call + " " + again, mixed + call, mail + "mail jane.roe@site.org", again]
+    found = pii.find(texts, field)
+    assert [sum(not base for *_, base in s) for s in found] == [50, 50, 100, 50, 50, 0]
+    assert all(text[a:b] in ("0151 2345678", "jane.roe") for text, s in zip(texts, found, strict=True) for a, _, b, base in s if not base)
+    assert found == [pii.find([t], field)[0] for t in texts]      # no text depends on its batch
+
+
+def test_every_text_converges():
+    field = pii.SkipChain(np.zeros((pii.N_FEATURES, 5)), 9.0 * np.eye(5), 6.0 * np.eye(5))
+    emit = np.zeros((60, 5))
+    emit[0, 1] = 50.0
+    a = np.arange(59)
+    p = field.beliefs(emit, (a, a + 1, np.zeros(59, np.int64)))      # a chain of 60: evidence moves one node a round
+    assert p[59, 1] > .9
