@@ -142,10 +142,9 @@ def _hash(digests: list[str]) -> str:
 
 
 class Subtree:
-    """The levels over the digests of one slot array."""
+    """The levels over the digests of one slot array: ``depth`` of them, or up to one node if it holds its whole group."""
 
-    def __init__(self, digests: list[str], fanout: int, alone: bool):
-        depth = deep(fanout)
+    def __init__(self, digests: list[str], fanout: int, depth: int, alone: bool):
         self.fanout, self.levels = fanout, [digests]
         while len(digests) > 1 if alone else len(self.levels) <= depth:
             digests = [_hash(digests[i:i + fanout]) for i in range(0, len(digests), fanout)]
@@ -192,13 +191,13 @@ def _collect(rows: DataFrame, totals: DataFrame, fanout: int) -> DataFrame:
 
 def _roots(arrays: DataFrame, fanout: int) -> DataFrame:
     """(g, block, alone, leaf): the digest over every slot array."""
-    out = StructType.fromDDL("g string, block long, alone boolean, leaf binary")
+    out, depth = StructType.fromDDL("g string, block long, alone boolean, leaf binary"), deep(fanout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
         for b in batches:
             alone = b.column("alone").to_pylist()
-            roots = [bytes.fromhex(Subtree(_slots(b.column("members"), i)[0], fanout, alone[i]).root) for i in range(b.num_rows)]
+            roots = [bytes.fromhex(Subtree(_slots(b.column("members"), i)[0], fanout, depth, alone[i]).root) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("g"), b.column("block"), b.column("alone"), pa.array(roots, pa.binary())],
                                              names=schema.names)
 
@@ -218,6 +217,7 @@ def _paths(arrays: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
     out = out.add(StructType.fromDDL(f"path {PATH}").fields[0])
     for c in more:
         out = out.add(c, "string")
+    depth = deep(fanout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
@@ -225,7 +225,7 @@ def _paths(arrays: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 digests, slots, rows = _slots(b.column("members"), i)
-                tree = Subtree(digests, fanout, b.column("alone")[i].as_py())
+                tree = Subtree(digests, fanout, depth, b.column("alone")[i].as_py())
                 rest = b.column("rest")[i].as_py()
                 n = len(slots)
                 yield pa.RecordBatch.from_arrays(
@@ -267,8 +267,9 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "la
                              F.col(key).cast("long").alias("id"), F.unhex(leaf_of(fields)).alias("leaf"), kept.alias("kept")), "leaves")
     found, totals = ranked(rows)
     arrays, above, roots = _tree(found, stage(totals, "totals"), fanout)
-    roots = stage(row_numbers(roots, [], [F.col("g")], "number"), "subroots")
-    tops = roots.select(F.lit("").alias("g"), (F.col("number") - 1).alias("pos"), "leaf", F.struct("g").alias("kept"))
+    # the top tree's one group is a stored column: joins on a constant would become nested loops
+    numbered = stage(row_numbers(roots, [], [F.col("g")], "number").withColumn("top", F.lit("")), "subroots")
+    tops = numbered.select(F.col("top").alias("g"), (F.col("number") - 1).alias("pos"), "leaf", F.struct("g").alias("kept"))
     top, beyond, root = _tree(tops, tops.groupBy("g").agg(F.count("*").alias("total")), fanout)
     one = root.select(F.lower(F.hex("leaf")).alias("root")).first()
     ends = (_paths(top, beyond, fanout).select(F.col("kept.g").alias("g"), F.col("leaf").alias("subroot"), F.col("path").alias("end")))
