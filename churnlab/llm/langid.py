@@ -9,9 +9,11 @@ is scored by one product.
 
 ``FAMILIES`` names the family of well-known codes; any other learned value is
 a family of its own.  Training takes at most about ``per_language`` documents
-of each language by a hash of the id; their sparse rows reach the driver,
-where each machine is trained by dual coordinate descent.  Scoring is one
-narrow pass over whole texts.
+of each language by a hash of the id, as sparse rows.  Each machine is trained
+in a task of its own by dual coordinate descent, from the rows of its two sides:
+at most about ``per_side`` a side, the same number of each language in it.  Only
+the machines' weights reach the driver (32 kB each), never rows or texts.
+Scoring is one narrow pass over whole texts.
 
 score is the logistic of the deciding margins, scaled on the training rows.
 Cases: null texts and texts without a letter are ``und`` with score 0; with
@@ -25,10 +27,14 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from churnlab.llm.common import by_hash, held_out, map_texts
+from churnlab.llm.common import by_hash, held_out, map_texts, stage
+from churnlab.llm.ngram_join import sorted_groups
 
 # Families of language codes.
 FAMILIES = {
@@ -44,6 +50,8 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 DIM = 1 << 13
 PER_LANGUAGE = 1_200
+#: Rows on each side of a machine, about; at most as many of each language as ``PER_LANGUAGE``.
+PER_SIDE = 6_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -67,28 +75,34 @@ def profile(text: str) -> np.ndarray:
     return x / max(float(np.sqrt(x @ x)), 1e-9)
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
+def train_sparse(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
     """Weights (the last for a constant 1) of a linear machine with squared hinge loss, y in {-1, 1}.
 
-    Dual coordinate descent over rows in a fixed shuffled order.
+    ``rows`` hold places and values.  Dual coordinate descent over rows in a fixed shuffled order.
     """
     rng = np.random.default_rng(17)
     share = np.where(y > 0, .5 / max(1, (y > 0).sum()), .5 / max(1, (y < 0).sum())) * len(y)
-    w, alpha = np.zeros(x.shape[1] + 1), np.zeros(len(y))
+    w, alpha = np.zeros(dim + 1), np.zeros(len(y))
     diag = .5 / (cost * share)
-    norm = (x * x).sum(1) + 1 + diag
+    norm = np.array([float(v @ v) for _, v in rows]) + 1 + diag
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
-            g = y[i] * (x[i] @ w[:-1] + w[-1]) - 1 + diag[i] * alpha[i]
+            at, v = rows[i]
+            g = y[i] * (v @ w[at] + w[-1]) - 1 + diag[i] * alpha[i]
             new = max(0.0, alpha[i] - g / norm[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[:-1] += step * x[i]
+                w[at] += step * v
                 w[-1] += step
                 alpha[i] = new
     return w
 
 
+def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
+    """The same from dense rows."""
+    return train_sparse([(np.arange(x.shape[1]), r) for r in x], y, x.shape[1], cost, rounds)
+
+
 @dataclass
 class Languages:
     names: list[str]
@@ -127,44 +141,82 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_rows(x: np.ndarray, langs: list[str]) -> Languages:
-    names = sorted(set(langs))
+@dataclass
+class Plan:
+    """The machines to train: the languages on each side of every machine."""
+    names: list[str]
+    families: list[str]
+    sides: list[tuple[list[str], list[str]]]
+    family_rows: list[int]
+    pair_rows: dict[tuple[int, int], int]
+
+
+def plan_machines(langs: set[str]) -> Plan:
+    names = sorted(langs)
     families = sorted({family(a) for a in names})
-    of = np.array([names.index(a) for a in langs])
-    kin = np.array([families.index(family(a)) for a in langs])
-    rows: list[np.ndarray] = []
+    sides: list[tuple[list[str], list[str]]] = []
     family_rows, pair_rows = [], {}
     if len(families) > 1:
-        for k in range(len(families)):
-            family_rows.append(len(rows))
-            rows.append(train_machine(x, np.where(kin == k, 1.0, -1.0)))
+        for k in families:
+            family_rows.append(len(sides))
+            sides.append(([a for a in names if family(a) == k], [a for a in names if family(a) != k]))
     for a in range(len(names)):
         for b in range(a + 1, len(names)):
             if family(names[a]) == family(names[b]):
-                both = (of == a) | (of == b)
-                pair_rows[a, b] = len(rows)
-                rows.append(train_machine(x[both], np.where(of[both] == a, 1.0, -1.0)))
-    weights = np.array(rows) if rows else np.zeros((0, x.shape[1] + 1))
-    return Languages(names, families, weights.astype(np.float32), family_rows, pair_rows)
+                pair_rows[a, b] = len(sides)
+                sides.append(([names[a]], [names[b]]))
+    return Plan(names, families, sides, family_rows, pair_rows)
 
 
 class _Profiles:
+    """Sparse profiles: places and half-precision values."""
+
     def __call__(self, texts: list[str]) -> dict[str, object]:
-        return {"x": [profile(t).astype("<f2").tobytes() for t in texts]}
+        at, values = [], []
+        for t in texts:
+            x = profile(t)
+            some = np.flatnonzero(x)
+            at.append(some.astype("<u2").tobytes())
+            values.append(x[some].astype("<f2").tobytes())
+        return {"at": at, "value": values}
+
+
+_WEIGHTS = StructType().add("machine", "long").add("weights", "binary")
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
+def _train(t: pa.Table) -> tuple[list, list]:
+    rows = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(v, "<f2").astype(np.float64))
+            for a, v in zip(t.column("at").to_pylist(), t.column("value").to_pylist(), strict=True)]
+    order = np.argsort([xxhash.xxh3_64_intdigest(a.tobytes() + v.tobytes()) for a, v in rows], kind="stable")  # whatever the order of arrival
+    w = train_sparse([rows[i] for i in order], t.column("y").to_numpy()[order], DIM)
+    return [t.column("machine")[0].as_py()], [w.astype("<f4").tobytes()]
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_side: int = PER_SIDE) -> Languages | None:
     """Machines for the values of ``lang``; rows held out and rows without a letter teach nothing."""
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    got = map_texts(by_hash(rows, counts, "lang", per_language), _Profiles(), "x binary", ("lang",)).collect()
-    x = np.array([np.frombuffer(r["x"], "<f2") for r in got], np.float32).reshape(len(got), DIM)
-    some = x.any(1)
-    langs = [r["lang"] for r, s in zip(got, some, strict=True) if s]
-    return fit_rows(x[some], langs) if langs else None
+    taken = by_hash(rows, counts, "lang", per_language).withColumn("draw", F.pmod(F.xxhash64(F.lit("side"), "doc_id"), F.lit(1 << 20)))
+    known = stage(map_texts(taken, _Profiles(), "at binary, value binary", ("lang", "draw")).where(F.length("at") > 0), "profiles")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    plan = plan_machines(set(counts))
+    # a row per machine, side and language, with the share of the language's rows that the side takes
+    uses = [(a, m, float(y), int((1 << 20) * min(1.0, per_side / len(side) / counts[a])) + 1)
+            for m, two in enumerate(plan.sides) for y, side in zip((1, -1), two, strict=True) for a in side]
+    weights = np.zeros((len(plan.sides), DIM + 1), np.float32)
+    if uses:
+        spark = docs.sparkSession
+        dealt = spark.createDataFrame(uses, "lang string, machine long, y double, below int")
+        examples = (known.join(dealt, "lang").where(F.col("draw") < F.col("below"))
+                    .select("machine", "y", "at", "value"))
+        for r in sorted_groups(examples, ("machine",), _train, _WEIGHTS).collect():
+            weights[r["machine"]] = np.frombuffer(r["weights"], "<f4")
+    return Languages(plan.names, plan.families, weights, plan.family_rows, plan.pair_rows)
 
 
 class _Identify:

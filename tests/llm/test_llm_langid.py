@@ -54,3 +54,57 @@ def test_odd_rows(spark):
     none = df.where(F.lit(False))
     assert langid.fit(none) is None and langid.identify(none, None).count() == 0
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
+
+
+def test_many_languages_send_only_weights_to_the_driver(spark):
+    """40 made-up languages: machines are planned from names alone, rows stay in the tasks."""
+    import resource
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    codes = [c for codes in langid.FAMILIES.values() for c in codes][:32] + [f"x{i}" for i in range(8)]
+    tables = {c: ["".join(rng.choice(letters, rng.integers(2, 7))) for _ in range(25)] for c in codes}
+    rows = [(i, " ".join(rng.choice(tables[c], 30)), c, None) for i, c in enumerate(codes * 24)]
+    df = frame(spark, rows)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    model = langid.fit(df)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 100
+    plan = langid.plan_machines(set(codes))
+    assert len(plan.sides) == len(model.weights) and len(model.names) == 40
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert np.mean([got[i] == c for i, _, c, _ in rows]) > 0.97
+
+
+def test_sparse_training_equals_dense():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 12)) * (rng.random((60, 12)) < .4)
+    y = np.where(x[:, 0] + x[:, 1] > 0, 1.0, -1.0)
+    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x]
+    assert np.allclose(langid.train_sparse(rows, y, 12), langid.train_machine(x, y), atol=1e-9)
+
+
+def brute_vote(model, x):
+    """Family by the largest margin, then the pair votes of its languages, one text at a time."""
+    m = model.weights[:, :-1] @ x + model.weights[:, -1]
+    best = model.families[int(np.argmax([m[r] for r in model.family_rows]))] if len(model.families) > 1 else model.families[0]
+    votes = {}
+    for k, a in enumerate(model.names):
+        if langid.family(a) == best:
+            won = 0.0
+            for (p, q), r in model.pair_rows.items():
+                if k in (p, q):
+                    side = m[r] if k == p else -m[r]
+                    won += (side > 0 if k == p else side >= 0) + 1e-3 * np.tanh(side)
+            votes[a] = won
+    return max(votes, key=votes.get)
+
+
+def test_vote_equals_a_plain_one(spark):
+    from conftest import SF001
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.where("text is not null").limit(150).collect()]
+    x = np.array([langid.profile(t) for t in texts])
+    names, p = model.predict(x)
+    some = x.any(1)
+    assert [a for a, s in zip(names, some) if s] == [brute_vote(model, v) for v, s in zip(x, some) if s]
+    assert ((p >= 0) & (p <= 1)).all()
