@@ -17,8 +17,13 @@ runs follows from the wanted recall for a pair at the threshold.
 
 Nodes that are still large at the last level hold sets that are similar
 throughout.  Overlapping ones are merged into dense groups, and a dense
-group's pairs are all compared, in tiles of two blocks of about ``BLOCK``
-sets dealt to tasks, so no task holds the group.
+group's pairs are all compared, in two steps.  First inside blocks of about
+``BLOCK`` sets (fewer if they are large), where every set gets its block's root;
+then in strips: one task holds one block and reads the group's other sets past
+it, a chunk at a time, so no task holds the group.  A strip returns a count per
+set of its block, and edges from its block roots to those of later blocks, as
+many as span the components: two rows a set at most, and about one a pair of
+blocks.  A set travels once for each block.
 
 Comparing: leaves with equal members are compared once.  A first look at the
 embedded values drops sets without a likely partner (four standard deviations
@@ -55,7 +60,11 @@ from churnlab.llm.graph import components
 
 TOKENS = 64
 LEAF = 48
-BLOCK = 96
+#: Sets of a block of a dense group, and the bytes of their shingles.
+BLOCK = 1_024
+BLOCK_BYTES = 32 << 20
+#: Sets of other blocks that a strip compares at once.
+CHUNK = 512
 DEPTH = 4
 #: Word hashes a worker remembers before it starts afresh.
 REMEMBERED = 500_000
@@ -269,7 +278,7 @@ def likely(units: DataFrame, reps: DataFrame, groups: DataFrame, threshold: floa
     return sorted_groups(rows, ("unit",), fn, out)
 
 
-def overlaps(sets: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], chunk: int = 1 << 12) -> np.ndarray:
     """Sizes of all pairwise intersections: products of 0/1 blocks over the shingles that two sets share."""
     m = len(sets)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -290,6 +299,31 @@ def overlaps(sets: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
     return out
 
 
+def cross_overlaps(mine: list[np.ndarray], others: list[np.ndarray], chunk: int = 1 << 12) -> np.ndarray:
+    """Sizes of the intersections of each of ``mine`` with each of ``others``."""
+    sides = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.concatenate(x)) for x in (mine, others)]
+    shared = np.intersect1d(np.unique(sides[0][1]), np.unique(sides[1][1]), assume_unique=True)
+    out = np.zeros((len(mine), len(others)))
+    if not len(shared):
+        return out
+    placed = []
+    for row, h in sides:
+        col = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        known = shared[col] == h
+        row, col = row[known], col[known]
+        order = np.argsort(col, kind="stable")
+        placed.append((row[order], col[order]))
+    for s in range(0, len(shared), chunk):
+        blocks = []
+        for (row, col), x in zip(placed, (mine, others), strict=True):
+            a, b = np.searchsorted(col, (s, s + chunk))
+            block = np.zeros((len(x), chunk), np.float32)
+            block[row[a:b], col[a:b] - s] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
 def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     both = overlaps(sets)
     n = np.diag(both)
@@ -298,8 +332,8 @@ def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return link
 
 
-def _answer(rep: np.ndarray, copies: np.ndarray, link: np.ndarray, counted: np.ndarray):
-    """Per row: rep, the smallest rep of its component here, and the copies behind its counted links."""
+def _answer(rep: np.ndarray, copies: np.ndarray, link: np.ndarray, counted: np.ndarray, every: bool = False):
+    """Per row with a link (or every row): rep, the smallest rep of its component here, the copies behind its counted links."""
     label = np.arange(len(rep))
     order = np.argsort(rep, kind="stable")
     rank = np.empty(len(rep), np.int64)
@@ -311,7 +345,7 @@ def _answer(rep: np.ndarray, copies: np.ndarray, link: np.ndarray, counted: np.n
         if (new == label).all():
             break
         label = new
-    some = link.any(1)
+    some = link.any(1) | every
     return rep[some], rep[order[label]][some], (counted * copies[None]).sum(1)[some]
 
 
@@ -343,22 +377,107 @@ def compare_leaves(rows: DataFrame, threshold: float) -> DataFrame:
     return sorted_groups(rows, ("unit",), fn, _ANSWER)
 
 
-def compare_dense(rows: DataFrame, threshold: float) -> DataFrame:
-    """``rows``: dense, rep, copies, set - all pairs of each dense group, tile by tile."""
-    sizes = rows.groupBy("dense").count().select("dense", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "dense").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    tiles = (placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .select("dense", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                     "block", "rep", "copies", "set"))
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Each dense group dealt by hash into blocks of bounded size; ``rows``: dense, rep, copies, set."""
+    sizes = rows.groupBy("dense").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return rows.join(sizes, "dense").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
+
+def compare_blocks(placed: DataFrame, threshold: float) -> DataFrame:
+    """Per set of a dense group: rep, its root inside its block, and its links there."""
     def fn(t: pa.Table):
-        rep, copies, block = (t.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         link = _linked(_sets_of(t), threshold) & (rep[:, None] != rep[None])
-        if t.column("low")[0].as_py() != t.column("high")[0].as_py():
-            link &= block[:, None] != block[None]
-        return _answer(rep, copies, link, link)
+        return _answer(rep, copies, link, link, every=True)
+
+    return sorted_groups(placed.select("dense", "block", "rep", "copies", "set"), ("dense", "block"), fn, _ANSWER)
+
+
+class _Strip:
+    """One block of a dense group and the group's other sets, which are read past it."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.rep: list[int] = []
+        self.root: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.links = np.zeros(0, np.int64)
+        self.up: dict[int, int] = {}
+
+    def _top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def take(self, t: pa.Table) -> None:
+        own, later = t.column("own").to_numpy(), t.column("later").to_numpy()
+        rep, root, copies = (t.column(c).to_numpy() for c in ("rep", "root", "copies"))
+        sets = _sets_of(t)
+        at = np.flatnonzero(own)
+        if len(at):
+            self.rep += rep[at].tolist()
+            self.root += root[at].tolist()
+            self.sets += [sets[i] for i in at]
+            self.links = np.zeros(len(self.rep), np.int64)
+        other = np.flatnonzero(~own) if self.sets else at[:0]       # hashing may leave a block empty
+        for s in range(0, len(other), CHUNK):
+            part = other[s:s + CHUNK]
+            both = cross_overlaps(self.sets, [sets[i] for i in part])
+            n = np.array([len(x) for x in self.sets])[:, None] + np.array([len(sets[i]) for i in part])[None]
+            link = both >= self.threshold * (n - both) - 1e-9
+            self.links += link @ copies[part]
+            i, j = np.nonzero(link & later[part][None])     # each pair of blocks joins in the earlier one's strip
+            for a, b in set(zip(np.array(self.root)[i].tolist(), root[part][j].tolist(), strict=True)):
+                low, high = sorted((self._top(a), self._top(b)))
+                self.up[high] = low
+
+    def rows(self) -> tuple[list, list, list]:
+        """Counts of the block's sets, then the edges that span the components met here."""
+        edges = [(x, self._top(x), 0) for x in self.up]
+        counts = [(r, t, n) for r, t, n in zip(self.rep, self.root, self.links.tolist(), strict=True) if n]
+        return tuple(map(list, zip(*(counts + edges), strict=True))) if counts or edges else ([], [], [])
+
+
+def compare_strips(placed: DataFrame, inside: DataFrame, threshold: float) -> DataFrame:
+    """Links between the blocks of dense groups: a count per set, and edges between block roots."""
+    rooted = (placed.where(F.col("blocks") > 1)
+              .join(inside.select("rep", "root").hint("merge"), "rep"))
+    strips = (rooted.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("strip"))
+              .select("dense", "strip", (F.col("block") == F.col("strip")).alias("own"),
+                      (F.col("block") > F.col("strip")).alias("later"), "rep", "root", "copies", "set"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(_ANSWER)
+        at, strip = None, _Strip(threshold)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(strip.rows(), schema, strict=True)], schema=schema)
 
-    return sorted_groups(tiles, ("dense", "low", "high"), fn, _ANSWER)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in ("dense", "strip")])
+            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if (here := (int(ids[0, s]), int(ids[1, s]))) != at:
+                    if at is not None:
+                        yield done()
+                    at, strip = here, _Strip(threshold)
+                strip.take(pa.Table.from_batches([b.slice(s, e - s)]))
+        if at is not None:
+            yield done()
+
+    return (strips.repartition("dense", "strip").sortWithinPartitions("dense", "strip", F.col("own").desc())
+            .mapInArrow(run, _ANSWER))
+
+
+def compare_dense(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows``: dense, rep, copies, set - all pairs of each dense group, in blocks and strips."""
+    placed = stage(_blocks(rows), "blocks")
+    inside = stage(compare_blocks(placed, threshold), "inside")
+    return inside.unionByName(compare_strips(placed, inside, threshold))
 
 
 def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.998, depth: int = DEPTH,

@@ -121,3 +121,60 @@ def test_components(spark):
             want[a] = want[b] = min(want[a], want[b])
     lone = {a for a, b in edges if a == b}
     assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= lone
+
+
+def near_copies(n, seed=3):
+    """(rep, words): near copies of one text, most with a change of their own."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = f"x{i}{rnd.random()}"
+        out.append(t)
+    return out
+
+
+def dense_rows(spark, n):
+    shingle = J.Shingler()
+    rows = [(7, i, 1 + i % 3, shingle([" ".join(t)])[0].tobytes()) for i, t in enumerate(near_copies(n))]
+    return spark.createDataFrame(rows, "dense long, rep long, copies long, set binary")
+
+
+def test_dense_groups_write_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 40)
+    per_member = {}
+    for n in (150, 600):
+        rows = dense_rows(spark, n)
+        found = J.compare_dense(rows, 0.8).collect()
+        sets = [np.frombuffer(r.set, np.uint64) for r in rows.orderBy("rep").collect()]
+        both = J.overlaps(sets)
+        size = np.diag(both)
+        link = both >= 0.8 * (size[:, None] + size[None] - both) - 1e-9
+        np.fill_diagonal(link, False)
+        want = link @ np.array([1 + i % 3 for i in range(n)])
+        got = np.zeros(n, int)
+        for r in found:
+            got[r.rep] += r.links
+        assert (got == want).all()
+        label = {r.node: r.label for r in components(spark.createDataFrame(
+            [(r.rep, r.root) for r in found], "a long, b long")).collect()}
+        seen, todo = {0}, [0]
+        while todo:
+            for j in np.flatnonzero(link[todo.pop()]):
+                if j not in seen:
+                    seen.add(int(j))
+                    todo.append(int(j))
+        assert {i for i, x in label.items() if x == 0} == seen
+        per_member[n] = len(found) / n
+    assert max(per_member.values()) <= 2.1      # in its block, in its strip, and few edges between blocks
+
+
+def test_components_of_odd_edges(spark):
+    def found(rows):
+        return {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    star = [(i, 500) for i in range(1, 400)]
+    assert found(star + [(5, 5), (900, 900), (None, 3), (3, None), (700, 600), (600, 700)]) == {
+        **{i: 1 for i in [*range(1, 400), 500]}, 600: 600, 700: 600}
+    assert found([]) == {}
