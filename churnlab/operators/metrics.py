@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from churnlab.operators import ordered
 from churnlab.operators.joins import with_stats
+from churnlab.session import materialize
 
 GRID_POINTS = 100
+#: Bins of a binned curve.
+BINS = 1_000
 
 
 def _safe(num, den):
@@ -128,16 +131,22 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", group_cols: S
                      2.0 * F.sum("neg") * F.sum("pos")).alias(name))
 
 
-def auc_from_points(points: DataFrame, group_cols: Sequence[str] = (), x: str = "fpr", y: str = "tpr",
-                    order: str = "rank", name: str = "auc") -> DataFrame:
-    """ML9 on given points: trapezoid sum over consecutive points (joined on the next position)."""
-    groups = list(group_cols)
-    idx = ordered.row_numbers(points, groups, [F.col(order)], "_i")
+def _numbered(points: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
+    return ordered.row_numbers(points, list(groups), [F.col(order)], "_i")
+
+
+def _trapezoids(idx: DataFrame, groups: list[str], x: str, y: str, name: str) -> DataFrame:
     prev = idx.select(*groups, (F.col("_i") + 1).alias("_i"), F.col(x).alias("_px"), F.col(y).alias("_py"))
     j = idx.join(prev, [*groups, "_i"], "inner")
     return j.groupBy(*groups).agg(F.sum((F.col(x) - F.col("_px")) * (F.col(y) + F.col("_py")) / 2).alias(name))
 
 
+def auc_from_points(points: DataFrame, group_cols: Sequence[str] = (), x: str = "fpr", y: str = "tpr",
+                    order: str = "rank", name: str = "auc") -> DataFrame:
+    """ML9 on given points: trapezoid sum over consecutive points (joined on the next position)."""
+    return _trapezoids(_numbered(points, group_cols, order), list(group_cols), x, y, name)
+
+
 def interpolate_on_grid(points: DataFrame, group_cols: Sequence[str] = ("fold",), n: int = GRID_POINTS,
                         x: str = "fpr", y: str = "tpr", order: str = "rank") -> DataFrame:
     """SF13: ``np.interp(linspace(0, 1, n), x, y)`` per group, output (groups..., k, grid, value).
@@ -147,8 +156,10 @@ def interpolate_on_grid(points: DataFrame, group_cols: Sequence[str] = ("fold",)
     produced exactly once per group, no pairing of points with the grid.
     Repeated x values resolve to the last point, as numpy does.
     """
-    groups = list(group_cols)
-    idx = ordered.row_numbers(points, groups, [F.col(order)], "_i")
+    return _interpolated(_numbered(points, group_cols, order), list(group_cols), n, x, y)
+
+
+def _interpolated(idx: DataFrame, groups: list[str], n: int, x: str, y: str) -> DataFrame:
     nxt = idx.select(*groups, (F.col("_i") - 1).alias("_i"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
     j = idx.join(nxt, [*groups, "_i"], "left")
     step = F.lit(1.0 / (n - 1))
@@ -172,9 +183,11 @@ def mean_roc(points: DataFrame, fold_col: str = "fold", n: int = GRID_POINTS) ->
 
     Follows the reference steps: each fold's interpolated TPR starts at 0,
     the mean ends at 1, std is the population std, the band is clamped to
-    [0, 1].  Returns (grid table, one-row summary).
+    [0, 1].  Returns (grid table, one-row summary).  The points are numbered
+    once, for the grid and for the fold areas.
     """
-    it = interpolate_on_grid(points, [fold_col], n)
+    idx = materialize(_numbered(points.select(fold_col, "rank", "fpr", "tpr"), [fold_col], "rank"), "roc_points")
+    it = _interpolated(idx, [fold_col], n, "fpr", "tpr")
     it = it.withColumn("value", F.when(F.col("k") == 0, F.lit(0.0)).otherwise(F.col("value")))
     g = it.groupBy("k", "grid").agg(F.avg("value").alias("mean_tpr"), F.stddev_pop("value").alias("std_tpr"))
     g = g.withColumn("mean_tpr", F.when(F.col("k") == n - 1, F.lit(1.0)).otherwise(F.col("mean_tpr")))
@@ -184,7 +197,64 @@ def mean_roc(points: DataFrame, fold_col: str = "fold", n: int = GRID_POINTS) ->
     w = Window.orderBy("k")
     seg = g.withColumn("_a", (F.col("grid") - F.lag("grid").over(w)) *
                        (F.col("mean_tpr") + F.lag("mean_tpr").over(w)) / 2)
-    fold_auc = auc_from_points(points, [fold_col])
+    fold_auc = _trapezoids(idx, [fold_col], "fpr", "tpr", "auc")
     summary = with_stats(seg.agg(F.sum("_a").alias("mean_auc")),
                          fold_auc.agg(F.stddev_pop("auc").alias("std_auc"), F.avg("auc").alias("avg_fold_auc")))
     return g.select("k", F.col("grid").alias("fpr"), "mean_tpr", "std_tpr", "tpr_upper", "tpr_lower"), summary
+
+
+def _binned(df: DataFrame, label: str, score: str, bins: int, low: float, high: float, groups: list[str]) -> DataFrame:
+    """(groups..., bin, pos, neg): fixed-width score counts; one aggregation, at most ``bins`` rows a group."""
+    x, y = F.col(score).cast("double"), F.col(label)
+    at = F.floor((F.least(F.greatest(x, F.lit(low)), F.lit(high)) - low) / (high - low) * bins)
+    at = F.when(F.isnan(x), bins - 1).otherwise(F.least(at, F.lit(bins - 1)))      # NaN is the largest number
+    return (df.where(x.isNotNull() & y.isNotNull()).groupBy(*groups, at.cast("int").alias("bin"))
+            .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
+
+
+def binned_roc(df: DataFrame, label: str = "label", score: str = "score", group_cols: Sequence[str] = (),
+               bins: int = BINS, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """ML8 for very many distinct scores: the ROC points at the edges of ``bins`` equal score ranges.
+
+    One aggregation with map-side combine and at most ``bins`` rows a group,
+    where the exact curve orders every distinct score.  Columns: groups...,
+    rank (0 = origin), threshold (the bin's lower edge), fpr, tpr, tpr_error.
+    The points lie on the exact curve; between a point and the one before it,
+    the exact curve leaves the straight line by at most ``tpr_error``, the
+    bin's share of the positives.  Scores outside [low, high] count in the
+    first or last bin, NaN in the last; null scores and labels are left out.
+    """
+    groups = list(group_cols)
+    counts = _binned(df, label, score, bins, low, high, groups)
+    down = Window.partitionBy(*groups).orderBy(F.col("bin").desc())      # at most ``bins`` rows a group
+    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_rows = Window.partitionBy(*groups)
+    cum = counts.select(*groups, F.row_number().over(down).cast("bigint").alias("rank"), "bin", "pos",
+                        F.sum("pos").over(upto).alias("_tps"), F.sum("neg").over(upto).alias("_fps"),
+                        F.sum("pos").over(all_rows).alias("_P"), F.sum("neg").over(all_rows).alias("_N"))
+    points = cum.select(*groups, "rank", (F.lit(low) + F.col("bin") * ((high - low) / bins)).alias("threshold"),
+                        F.try_divide(F.col("_fps"), F.col("_N")).alias("fpr"), F.try_divide(F.col("_tps"), F.col("_P")).alias("tpr"),
+                        F.try_divide(F.col("pos"), F.col("_P")).alias("tpr_error"))
+    origin = F.struct(F.lit(0).cast("bigint").alias("rank"), F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                      F.lit(0.0).alias("tpr"), F.lit(0.0).alias("tpr_error"))
+    point = F.struct("rank", "threshold", "fpr", "tpr", "tpr_error")
+    # the first bin of a group brings the origin along
+    both = F.when(F.col("rank") == 1, F.array(origin, point)).otherwise(F.array(point))
+    return points.select(*groups, F.explode(both).alias("_p")).select(*groups, "_p.*")
+
+
+def binned_auc(df: DataFrame, label: str = "label", score: str = "score", group_cols: Sequence[str] = (),
+               bins: int = BINS, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """ML9 on binned scores: (groups..., auc, error); the exact area lies within ``auc`` +- ``error``.
+
+    Pairs of a positive and a negative in different bins are in their exact
+    order; pairs in one bin count half, so each is off by half a pair at most.
+    """
+    groups = list(group_cols)
+    counts = _binned(df, label, score, bins, low, high, groups)
+    upto = Window.partitionBy(*groups).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.withColumn("_tps", F.sum("pos").over(upto))
+    pairs = 2.0 * F.sum("neg") * F.sum("pos")
+    return cum.groupBy(*groups).agg(
+        F.try_divide(F.sum(F.col("neg") * (2 * F.col("_tps") - F.col("pos"))).cast("double"), pairs).alias("auc"),
+        F.try_divide(F.sum(F.col("neg") * F.col("pos")).cast("double"), pairs).alias("error"))

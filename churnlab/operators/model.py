@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ REFERENCE_GRID = {"subsample": [0.7], "scale_pos_weight": [1], "n_estimators": [
                   "learning_rate": [0.005, 0.01], "gamma": [4.0], "colsample_bytree": [0.6]}
 EXCLUDE = ("id", "churn", "price_date")
 MAX_GBT_DEPTH = 30
+#: Least gain of a split, XGBoost's own floor: below it a node of equal rows would be split by rounding errors.
+MIN_GAIN = 1e-6
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = EXCLUDE) -> list[str]:
@@ -128,7 +131,7 @@ def gbt(params: Mapping | None = None, label: str = "churn", features: str = "fe
     mapped, _ = xgb_to_gbt(params or BASE_PARAMS)
     if float((params or BASE_PARAMS).get("scale_pos_weight", 1)) != 1.0:
         mapped["weightCol"] = WEIGHT
-    return GBTClassifier(featuresCol=features, labelCol=label, lossType="logistic", seed=seed,
+    return GBTClassifier(featuresCol=features, labelCol=label, lossType="logistic", seed=seed, minInfoGain=MIN_GAIN,
                          checkpointInterval=checkpoint_interval, **mapped)
 
 
@@ -155,31 +158,84 @@ def _auc_of(pred: DataFrame, label: str, group_cols=()) -> DataFrame:
     return metrics.auc(pred.withColumnRenamed(label, "label"), "label", "p_churn", group_cols)
 
 
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int | None = None) -> list:
+    """Results of driver-side ``tasks`` whose Spark jobs run at the same time, each in a pool of its own.
+
+    Pools share the executors' cores evenly where the session schedules
+    ``FAIR`` (``session.get_spark`` does); under ``FIFO`` later jobs fill the
+    cores that earlier ones leave idle.  The first error is raised.
+    """
+    tasks = list(tasks)
+
+    @inheritable_thread_target(spark)
+    def run(i: int):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"churnlab-{i}")
+        return tasks[i]()
+
+    if not tasks:
+        return []
+    with ThreadPool(min(parallelism or len(tasks), len(tasks))) as pool:
+        return pool.map(run, range(len(tasks)), chunksize=1)
+
+
 def cross_validate(data: DataFrame, columns: Sequence[str], params: Mapping | None = None,
                    label: str = "churn", fold_col: str = "fold", k: int = 3,
-                   keep: Sequence[str] = ("id",)):
+                   keep: Sequence[str] = ("id",), parallelism: int | None = None):
     """ML11/ML16: per-fold fit; train AUC, test AUC and the test ROC points of each fold.
 
-    The loop runs over the k folds on the driver; every fit, prediction and
-    metric is a distributed job over stored predictions.  Returns (fold AUC
-    table, ROC points, the last fold's fitted model).
+    The assembled features are stored once and read by all folds, which are
+    fitted side by side (``parallelism`` at a time, all by default).  A fold's
+    model scores the whole table in one scan; a row's side follows from its
+    fold.  Rows without a fold train every model and are scored on no side.
+    Returns (fold AUC table, ROC points, the last fold's fitted model).
     """
-    parts = []
-    for f in range(k):
-        train = data.where(F.col(fold_col) != f)
-        test = data.where(F.col(fold_col) == f)
-        model = fit(train, columns, params, label)
-        both = train.withColumn("_side", F.lit("train")).unionByName(test.withColumn("_side", F.lit("test")))
-        parts.append(predict(model, both, [*keep, label, "_side"]).withColumn(fold_col, F.lit(f)))
-    pred = parts[0]
-    for p in parts[1:]:
+    spark = data.sparkSession
+    ensure_checkpoint_dir(spark)
+    table = with_class_weight(data.withColumn(label, F.col(label).cast("double")), params, label)
+    wanted = list(dict.fromkeys([*keep, label, fold_col, WEIGHT, "features"]))
+    table = materialize(assembler(columns).transform(table).select(*wanted), "cv_features")
+
+    def one(f: int):
+        model = gbt(params, label).fit(table.where(~F.col(fold_col).eqNullSafe(F.lit(f))))
+        side = F.when(F.col(fold_col) == f, "test").when(F.col(fold_col).isNotNull(), "train")
+        pred = predict(model, table.withColumn("_side", side), [*keep, label, "_side"]).withColumn(fold_col, F.lit(f))
+        return model, materialize(pred, f"cv_predictions_{f}")
+
+    fitted = side_by_side(spark, [lambda f=f: one(f) for f in range(k)], parallelism)
+    pred = fitted[0][1]
+    for _, p in fitted[1:]:
         pred = pred.unionByName(p)
-    pred = materialize(pred, "cv_predictions")
+    pred = pred.where(F.col("_side").isNotNull())
     each = _auc_of(pred, label, [fold_col, "_side"])
     fold_aucs = each.groupBy(fold_col).agg(*[F.max(F.when(F.col("_side") == s, F.col("auc"))).alias(f"auc_{s}")
                                              for s in ("train", "test")])
     roc = metrics.roc_curve(pred.where("_side = 'test'").withColumnRenamed(label, "label"), "label", "p_churn", [fold_col])
-    return fold_aucs, roc, model
+    return fold_aucs, roc, fitted[-1][0]
+
+
+class ExactAUC(Evaluator):
+    """Area under the ROC curve without binning, for model selection and Spark ML's tuning classes.
+
+    ``BinaryClassificationEvaluator`` thins the curve to about 1,000 points, so
+    candidates that differ by little can tie or change places; this one counts
+    every distinct score (``metrics.auc``).  ``score`` is a number column or a
+    vector column, of which the last value counts (class 1).  One class only,
+    or no row, gives NaN, which never ranks first.
+    """
+
+    def __init__(self, label: str = "label", score: str = "rawPrediction"):
+        super().__init__()
+        self.label, self.score = label, score
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        vector = dataset.schema[self.score].dataType.typeName() not in ("double", "float", "integer", "long", "short", "byte")
+        score = F.element_at(vector_to_array(self.score), -1) if vector else F.col(self.score).cast("double")
+        scored = dataset.select(F.col(self.label).alias("label"), score.alias("score"))
+        found = metrics.auc(scored).first()
+        return float("nan") if found is None or found["auc"] is None else float(found["auc"])
 
 
 def param_grid(grid: Mapping[str, Sequence] = REFERENCE_GRID) -> list[dict]:
@@ -190,35 +246,36 @@ def param_grid(grid: Mapping[str, Sequence] = REFERENCE_GRID) -> list[dict]:
 
 def grid_search(data: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence] = REFERENCE_GRID,
                 label: str = "churn", fold_col: str = "fold", k: int = 3, parallelism: int = 2, seed: int = 42):
-    """ML14/ML15: k-fold grid search by area under ROC on the given folds.
+    """ML14/ML15: k-fold grid search by exact area under ROC on the given folds.
 
     Returns (candidates table: candidate, params, unmapped, mean_auc, rank; best
     XGBoost-style parameters).  ``scale_pos_weight`` must be the same for all
-    candidates: it is a column of the one table they share.  ``CrossValidator`` fits the candidates in
-    ``parallelism`` concurrent distributed jobs.
+    candidates: it is a column of the one table they share, whose features are
+    assembled and stored once.  All fits, of every candidate and fold, run
+    ``parallelism`` at a time.  A candidate with an undefined area (a fold of
+    one class) ranks last; of equal areas the earlier candidate is better.
     """
-    ensure_checkpoint_dir(data.sparkSession)
+    spark = data.sparkSession
+    ensure_checkpoint_dir(spark)
     cands = param_grid(grid)
     if len({float(c.get("scale_pos_weight", 1)) for c in cands}) > 1:
         raise ValueError("search one scale_pos_weight at a time")
-    est = gbt({"scale_pos_weight": cands[0].get("scale_pos_weight", 1)}, label, seed=seed)
-    maps = []
-    for c in cands:
-        mapped, _ = xgb_to_gbt(c)
-        maps.append({getattr(est, k): v for k, v in mapped.items()})
-    pipe = Pipeline(stages=[assembler(columns), est])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                                                metricName="areaUnderROC"),
-                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=seed)
-    cvm = cv.fit(with_class_weight(data.withColumn(label, F.col(label).cast("double")), cands[0], label))
-    rows = [(i, str(c), str(unmapped_params(c)), float(m)) for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
-    spark = data.sparkSession
-    table = spark.createDataFrame(rows, "candidate int, params string, unmapped string, mean_auc double")
+    weighted = with_class_weight(data.withColumn(label, F.col(label).cast("double")), cands[0], label)
+    table = materialize(assembler(columns).transform(weighted).select(label, fold_col, WEIGHT, "features"), "search_features")
+    evaluator = ExactAUC(label)
+
+    def area(c: Mapping, f: int) -> float:
+        model = gbt(c, label, seed=seed).fit(table.where(F.col(fold_col) != f))
+        return evaluator.evaluate(model.transform(table.where(F.col(fold_col) == f)))
+
+    areas = side_by_side(spark, [lambda c=c, f=f: area(c, f) for c in cands for f in range(k)], parallelism)
+    means = [sum(areas[i * k:(i + 1) * k]) / k for i in range(len(cands))]
+    means = [None if m != m else m for m in means]
+    rows = [(i, str(c), str(unmapped_params(c)), m) for i, (c, m) in enumerate(zip(cands, means))]
+    found = spark.createDataFrame(rows, "candidate int, params string, unmapped string, mean_auc double")
     # one row per candidate: a window over the candidate table is bounded
-    table = table.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_auc").desc(), "candidate")))
-    best = cands[max(range(len(cands)), key=lambda i: (cvm.avgMetrics[i], -i))]
-    return table, best
+    found = found.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_auc").desc_nulls_last(), "candidate")))
+    return found, cands[max(range(len(cands)), key=lambda i: (means[i] is not None, means[i] or 0.0, -i))]
 
 
 def split_counts(model, columns: Sequence[str]) -> DataFrame:

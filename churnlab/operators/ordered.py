@@ -31,11 +31,10 @@ from churnlab.session import materialize
 ROWS_PER_RANGE = 2_000_000
 
 
-def _num_partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, math.ceil(df.count() / ROWS_PER_RANGE))
+def _num_partitions(stored: DataFrame) -> int:
+    """Ranges for a stored table; its rows are counted from the files' footers."""
+    least = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, math.ceil(stored.count() / ROWS_PER_RANGE))
 
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
@@ -46,9 +45,15 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     for the running sum to be well defined row by row.  NULL is a group of its
     own.  Intended for few groups (classes, column names); many small groups
     are better served by an ordinary partitioned window.
+
+    ``df`` is evaluated once, into a stored table: its row count decides the
+    number of ranges and Spark samples it for their bounds.  With ``partitions``
+    given it is not stored first (and evaluated twice: sample and ranges).
     """
     groups = list(group_cols)
-    n = _num_partitions(df, partitions)
+    if not partitions:
+        df = materialize(df, "prefix_input")
+    n = partitions or _num_partitions(df)
     ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], *order)
                 .withColumn("_pid", F.spark_partition_id()))
     # The range bounds come from a sample whose rows depend on arrival order,
@@ -119,15 +124,23 @@ def _brackets(df: DataFrame, columns: Sequence[str], ranks: dict) -> dict:
         wide = [k for k in out if inside[k] > BRACKET_VALUES and out[k][1] < out[k][2]]
         if not wide:
             break
-        aggs = []
+        # probabilities whose brackets are the same so far share a sketch
+        shared: dict[tuple, list[float]] = {}
         for c, p in wide:
             n, low, high = out[c, p]
-            x = F.col(c).cast("double")
             at = ((n - 1) * p - below[c, p]) / inside[c, p]
-            aggs.append(F.percentile_approx(F.when((x >= low) & (x <= high), x),
-                                            [min(max(at - margin, 0.0), 1.0), min(max(at + margin, 0.0), 1.0)], SKETCH))
-        found = df.agg(*aggs).first()
-        cuts = {k: (out[k][0], found[i][0], found[i][1]) for i, k in enumerate(wide)}
+            shared.setdefault((c, low, high), []).extend(min(max(at + d, 0.0), 1.0) for d in (-margin, margin))
+        aggs = []
+        for (c, low, high), probs in shared.items():
+            x = F.col(c).cast("double")
+            aggs.append(F.percentile_approx(F.when((x >= low) & (x <= high), x), probs, SKETCH))
+        row = df.agg(*aggs).first()
+        values = {key: iter(row[i]) for i, key in enumerate(shared)}
+        cuts = {}
+        for c, p in wide:
+            n, low, high = out[c, p]
+            at = values[c, low, high]
+            cuts[c, p] = n, next(at), next(at)
         sizes = df.agg(*[x for (c, p) in wide for x in (
             F.count_if(F.col(c).cast("double") < cuts[c, p][1]), F.count_if(F.col(c).cast("double").between(cuts[c, p][1], cuts[c, p][2])))]).first()
         shrunk = False

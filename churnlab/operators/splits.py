@@ -7,12 +7,20 @@ same side / fold, and the assignment can be reproduced in SQL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.operators import ordered
+from churnlab.session import materialize
+
+#: Bits of the number that orders rows for an exact split, and the ranges one pass counts.
+HASH_BITS = 60
+RANGES = 4_096
+#: Distinct numbers of a range that the driver puts in order.
+LISTED = 10_000
 
 
 def key_hash(key_cols: Sequence[str], seed: int = 42) -> Column:
@@ -37,6 +45,78 @@ def split(df: DataFrame, key_cols: Sequence[str], test_size: float = 0.33, seed:
     return flagged.where("_t = 0").drop("_t"), flagged.where("_t = 1").drop("_t")
 
 
+def key_number(key_cols: Sequence[str], seed: int = 42) -> Column:
+    """First 60 bits of the key hash as a number."""
+    return F.conv(F.substring(key_hash(key_cols, seed), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def kth_smallest(df: DataFrame, column: str, k_of: Callable[[int], int], bits: int = HASH_BITS) -> tuple[int, int, int, int] | None:
+    """(value, rows below it, rows equal to it, k) of the k-th smallest of a long column from 0 to 2^bits - 1.
+
+    ``k_of`` gives k (from 1) for the number of rows.  Every pass counts the
+    rows of at most ``RANGES`` equal ranges (combined map-side, that many rows
+    to the driver) and goes on inside the one that holds rank k, until few
+    distinct numbers are left, which are listed.  Nothing is sorted or written;
+    None if there is no row.
+    """
+    low, width, below, k = 0, 1 << bits, 0, None
+    while True:
+        inside = df.where((F.col(column) >= low) & (F.col(column) < low + width)) if k else df
+        step = -(-width // RANGES)
+        at = F.expr(f"(`{column}` - {low}L) div {step}L")
+        counts = sorted((r["at"], r["n"], r["kinds"]) for r in inside.groupBy(at.alias("at")).agg(
+            F.count("*").alias("n"), F.approx_count_distinct(column).alias("kinds")).collect())
+        if k is None:
+            n = sum(c for _, c, _ in counts)
+            if not n:
+                return None
+            k = k_of(n)
+        for i, c, kinds in counts:
+            if below + c >= k:
+                break
+            below += c
+        low, width = low + i * step, step
+        if width == 1:
+            return low, below, c, k
+        if kinds <= LISTED // 2:         # an estimate: the list is cut just above the bound, and the passes go on then
+            listed = (df.where((F.col(column) >= low) & (F.col(column) < low + width)).groupBy(column).count()
+                      .limit(LISTED + 1).collect())
+            if len(listed) <= LISTED:
+                for value, c in sorted((r[0], r[1]) for r in listed):
+                    if below + c >= k:
+                        return value, below, c, k
+                    below += c
+
+
+def exact_train_test_split(df: DataFrame, key_cols: Sequence[str], test_size: float = 0.33, seed: int = 42,
+                           col: str = "is_test") -> DataFrame:
+    """ML2: flag exactly ``ceil(test_size * n)`` rows for the hold-out set, those with the smallest key hashes.
+
+    The cut is found by counting ranges of the hash (``kth_smallest``), so
+    nothing is shuffled but counts, and the flag is a comparison with a
+    constant.  Rows with the hash of the cut (usually one) are taken in the
+    order of their keys, then of a hash of all columns; only identical rows
+    are interchangeable, and they are numbered by range, so a key that holds
+    most rows is no hot task.  ``df`` is read two to six times: pass a stored
+    table if it is costly.  An empty table stays empty.
+    """
+    if not 0 <= test_size <= 1:
+        raise ValueError("test_size between 0 and 1")
+    hashed = df.withColumn("_h", key_number(key_cols, seed))
+    found = kth_smallest(hashed.select("_h"), "_h", lambda n: max(1, math.ceil(test_size * n))) if test_size else None
+    if found is None:
+        return df.withColumn(col, F.lit(0))
+    value, below, equal, k = found
+    if below + equal == k:
+        return hashed.withColumn(col, (F.col("_h") <= value).cast("int")).drop("_h")
+    ties = materialize(hashed.where(F.col("_h") == value).withColumns(
+        {"_r": F.xxhash64(*df.columns), "_u": F.monotonically_increasing_id()}), "split_ties")
+    order = [*(F.col(c).asc_nulls_first() for c in key_cols), F.col("_r"), F.col("_u")]
+    cut = ordered.row_numbers(ties, [], order, "_n").withColumn(col, (F.col("_n") <= k - below).cast("int"))
+    rest = hashed.where(F.col("_h") != value).withColumn(col, (F.col("_h") < value).cast("int"))
+    return rest.select(*df.columns, col).unionByName(cut.select(*df.columns, col))
+
+
 def stratified_folds(df: DataFrame, label: str, key_cols: Sequence[str], k: int = 3, seed: int = 42,
                      col: str = "fold", exact: bool = True, unique_keys: bool = False) -> DataFrame:
     """ML10: shuffled stratified k-fold numbering.

@@ -28,6 +28,7 @@ _MODULES = [
     "churnlab.plans.q_features",
     "churnlab.plans.q_charts",
     "churnlab.plans.q_metrics",
+    "churnlab.plans.q_boost",
     "churnlab.plans.q_model",
     "churnlab.plans.q_flows",
 ]

@@ -34,6 +34,63 @@ def ml2_split_sizes(spark, sf):
     return splits.train_test_split(fx.scored(spark, sf), ["id"]).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ORDERED = "CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+@register("ml2_exact_split", f"""
+SELECT id, CAST(row_number() OVER (ORDER BY {_ORDERED}, id) <= ceil(CAST(0.33 AS DOUBLE) * count(*) OVER ()) AS INTEGER) AS is_test FROM scored
+""", ("scored",))
+def ml2_exact_split(spark, sf):
+    """Exactly ceil(0.33 n) rows, by the smallest key hashes."""
+    return splits.exact_train_test_split(fx.scored(spark, sf).select("id"), ["id"])
+
+
+@register("ml2_exact_split_repeated_keys", """
+WITH c AS (SELECT ceil(CAST(0.33 AS DOUBLE) * count(*)) AS k, count(*) AS n FROM prices)
+SELECT CAST(1 AS INTEGER) AS is_test, CAST(k AS BIGINT) AS n FROM c UNION ALL SELECT 0, CAST(n - k AS BIGINT) FROM c
+""", ("prices",))
+def ml2_exact_split_repeated_keys(spark, sf):
+    """Price rows split by customer key: the rows of the customer at the cut are divided, the size stays exact."""
+    flagged = splits.exact_train_test_split(fx.prices(spark, sf), ["id"])
+    return flagged.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BINNED = """
+b AS (SELECT fold, CAST(least(floor(score * 50), 49) AS INTEGER) AS bin, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+      FROM folds GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps, sum(pos) OVER (PARTITION BY fold) AS p, sum(neg) OVER (PARTITION BY fold) AS n,
+             row_number() OVER (PARTITION BY fold ORDER BY bin DESC) AS rank
+      FROM b WINDOW w AS (PARTITION BY fold ORDER BY bin DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@register("ml8_binned_roc", f"""
+WITH folds AS ({_FOLDS}), {_BINNED}
+SELECT fold, rank, CAST(bin * (1 / CAST(50 AS DOUBLE)) AS FLOAT) AS threshold, CAST(fps / n AS FLOAT) AS fpr, CAST(tps / p AS FLOAT) AS tpr,
+       CAST(pos / p AS FLOAT) AS tpr_error FROM c
+UNION ALL SELECT DISTINCT fold, 0, CAST('inf' AS FLOAT), 0, 0, 0 FROM c
+""", ("scored",))
+def ml8_binned_roc(spark, sf):
+    return f32(metrics.binned_roc(_folds(spark, sf), group_cols=["fold"], bins=50))
+
+
+@register("ml9_binned_auc_bound", f"""
+WITH folds AS ({_FOLDS}), {_BINNED},
+a AS (SELECT fold, sum(neg * (tps - pos / 2)) / (any_value(p) * any_value(n)) AS auc,
+             sum(neg * pos) / 2 / (any_value(p) * any_value(n)) AS error FROM c GROUP BY fold),
+d AS (SELECT fold, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM folds GROUP BY ALL),
+e AS (SELECT fold, sum(neg * (tps - pos / 2)) / (sum(pos) * sum(neg)) AS exact
+      FROM (SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps FROM d) GROUP BY fold)
+SELECT fold, CAST(auc AS FLOAT) AS auc, CAST(error AS FLOAT) AS error, CAST(exact AS FLOAT) AS exact, abs(auc - exact) <= error AS within
+FROM a JOIN e USING (fold)
+""", ("scored",))
+def ml9_binned_auc_bound(spark, sf):
+    """The area of binned scores with its bound, beside the exact area."""
+    folded = _folds(spark, sf)
+    exact = metrics.auc(folded, group_cols=["fold"], name="exact")
+    both = metrics.binned_auc(folded, group_cols=["fold"], bins=50).join(exact, "fold")
+    return f32(both.withColumn("within", F.abs(F.col("auc") - F.col("exact")) <= F.col("error")))
+
+
 @register("ml6_accuracy_precision_recall", """
 WITH c AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
                   count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,

@@ -3,7 +3,7 @@
 Everything in the library is plain DataFrame code; this module only pins the
 settings the operators rely on: UTC session time zone (date arithmetic),
 ANSI mode (bad casts fail loudly; operators use ``try_*`` where pandas would
-yield NaN), adaptive execution with skew-join splitting, and a shared
+yield NaN), fair scheduling between threads, adaptive execution with skew-join splitting, and a shared
 checkpoint folder taken from ``spark.checkpoint.dir`` when the cluster sets one.
 """
 
@@ -23,6 +23,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.scheduler.mode": "FAIR",     # fits that run side by side share the cores
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -127,3 +127,52 @@ def test_grouped_folds_keep_customers_together(spark):
                 for r in f.select("id", "fold", "label").distinct().groupBy("fold", "label").count().collect()}
     assert sorted(per_fold[(k, 1)] for k in range(3)) == [33, 33, 34]
     assert sorted(per_fold[(k, 0)] for k in range(3)) == [66, 67, 67]
+
+
+def test_binned_curve_lies_on_the_exact_one_and_within_its_bound(spark):
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, 3000)
+    score = np.clip(rng.normal(.4 + .2 * y, .25, 3000), -.2, 1.3)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, score)] + [(1, None), (None, .5), (1, float("nan"))], "label int, score double")
+    pos, neg = np.r_[score[y == 1], 9.0], score[y == 0]
+    exact = ((pos[:, None] > neg[None]) + .5 * (pos[:, None] == neg[None])).mean()
+    for bins in (1, 7, 400):
+        r = metrics.binned_auc(df, bins=bins).first()
+        assert abs(r.auc - exact) <= r.error + 1e-12
+        points = metrics.binned_roc(df, bins=bins).orderBy("rank").collect()
+        assert (points[0].fpr, points[0].tpr, points[-1].fpr, points[-1].tpr) == (0, 0, 1, 1)
+        for p, q in zip(points, points[1:], strict=False):
+            t = q.threshold if q is not points[-1] else -9.0
+            assert abs(q.tpr - (pos >= t).mean()) < 1e-12 and abs(q.fpr - (neg >= t).mean()) < 1e-12
+            inside = [s for s in pos if q.threshold <= s < p.threshold]
+            assert all((pos >= s).mean() - p.tpr <= q.tpr_error + 1e-12 for s in inside)
+    area = metrics.auc_from_points(metrics.binned_roc(df, bins=400)).first()[0]
+    assert abs(area - metrics.binned_auc(df, bins=400).first().auc) < 1e-12
+    assert metrics.binned_roc(df.where("false")).count() == 0
+
+
+def test_exact_split_sizes_ties_and_order(spark):
+    import math
+    from churnlab.operators import splits
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), F.lit("x").alias("_t"))
+    for size in (0.33, 0.001, 1.0, 0.0):
+        got = splits.exact_train_test_split(df, ["id"], size).collect()
+        h = sorted((int(hashlib.md5(f"42:{r.id}".encode()).hexdigest()[:15], 16), r.id) for r in got)
+        want = {i for _, i in h[:math.ceil(size * 1000)]}
+        assert {r.id for r in got if r.is_test} == want
+    # seven keys: the key at the cut is divided; a null key and identical rows are in order too
+    odd = df.withColumn("k", F.when(F.col("k") > 0, F.col("k"))).select("k", "_t").unionByName(df.limit(0).select("k", "_t"))
+    got = splits.exact_train_test_split(odd, ["k"], 0.5).groupBy("is_test").count().collect()
+    assert {r.is_test: r["count"] for r in got} == {1: 500, 0: 500}
+    assert splits.exact_train_test_split(df.limit(0), ["id"]).collect() == []
+
+
+def test_kth_smallest_by_passes(spark, monkeypatch):
+    from churnlab.operators import splits
+    monkeypatch.setattr(splits, "LISTED", 4)
+    monkeypatch.setattr(splits, "RANGES", 8)
+    values = sorted([5] * 40 + [2 ** 59 + 3] * 3 + list(range(0, 400, 7)))
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    for k in (1, 30, 57, len(values)):
+        v, below, equal, _ = splits.kth_smallest(df, "x", lambda n: k)
+        assert v == values[k - 1] and below == values.index(v) and equal == values.count(v)

@@ -69,3 +69,38 @@ def test_nan_is_flagged_like_null(spark):
     df = spark.createDataFrame([(1, 1.0, float("nan")), (2, 2.0, 3.0)], "id long, a double, b double")
     out, cols = model.prepare_features(df, ["a", "b"])
     assert cols == ["a", "b", "b_missing"] and [r["b_missing"] for r in out.orderBy("id").collect()] == [1.0, 0.0]
+
+
+def test_exact_auc_orders_what_binning_ties(spark):
+    """20,000 distinct scores: swapping neighbours inside the thinned curve's steps is seen only by the exact area."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    n = 20_000
+    df = spark.range(n, numPartitions=4).select((F.col("id") >= n // 2).cast("double").alias("label"), F.col("id").cast("double").alias("good"))
+    # the two rows beside the border change places
+    swapped = F.when(F.col("good") == n // 2 - 1, n // 2).when(F.col("good") == n // 2, n // 2 - 1).otherwise(F.col("good"))
+    df = df.withColumn("worse", swapped.cast("double")).cache()
+    exact = [model.ExactAUC("label", c).evaluate(df) for c in ("good", "worse")]
+    assert exact[0] == 1.0 and exact[1] == 1 - 1 / (n // 2) ** 2
+    binned = [BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=c).evaluate(df) for c in ("good", "worse")]
+    assert exact[0] > exact[1] and abs(binned[0] - binned[1]) != exact[0] - exact[1]
+    one = df.where("label = 1")
+    assert model.ExactAUC("label", "good").evaluate(one) != model.ExactAUC("label", "good").evaluate(one)   # NaN
+    df.unpersist()
+
+
+def test_folds_side_by_side_equal_the_loop(spark):
+    data, cols = model.prepare_features(_data(spark, 300), ["x1", "x2", "x3"])
+    folded = splits.stratified_folds(data, "churn", ["id"], 3)
+    runs = [model.cross_validate(folded, cols, {"max_depth": 2, "n_estimators": 3}, parallelism=p) for p in (1, None)]
+    aucs = [sorted(tuple(r) for r in a.collect()) for a, _, _ in runs]
+    assert aucs[0] == aucs[1] and len(aucs[0]) == 3
+    assert model.side_by_side(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        model.side_by_side(spark, [lambda: 1, lambda: 1 / 0])
+
+
+def test_rounding_noise_is_no_split(spark):
+    """Equal rows are not split, however often boosting goes over them."""
+    df = spark.createDataFrame([(i, i % 2, float(i % 2), float(i)) for i in range(60)], "id long, churn int, x1 double, x2 double")
+    counts = model.split_counts(model.fit(df, ["x1", "x2"], {"max_depth": 4, "n_estimators": 6}), ["x1", "x2"])
+    assert [tuple(r) for r in counts.collect()] == [("x1", 6, 1)]
