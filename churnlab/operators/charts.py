@@ -101,6 +101,43 @@ def density(df: DataFrame, column: str, gridsize: int = 100, cut: float = 3.0,
                       F.try_divide(F.coalesce(F.col("_ksum"), F.lit(0.0)) * norm, F.col("_n") * F.col("_bw")).alias("density"))
 
 
+def density_binned(df: DataFrame, column: str, gridsize: int = 100, bins: int = 2_000, cut: float = 3.0,
+                   bw_method: str = "scott") -> DataFrame:
+    """CH3 for very many rows: (k, x, density, error); the exact density lies within ``error`` of ``density``.
+
+    Linear binning: every value splits its weight between the two nearest of
+    ``bins`` + 1 nodes from min to max, one aggregation of at most two rows a
+    value into ``bins`` + 1 rows; the kernel is then summed over nodes, not
+    values.  Replacing the kernel by its chords of width d errs by at most
+    d^2 / 8 times its largest second derivative, d^2 / (8 sqrt(2 pi) bw^3).
+    Bandwidth and grid as in :func:`density`; NaN if any value is NaN.
+    """
+    x = F.col(column).cast("double")
+    vals = df.where(x.isNotNull()).select(x.alias("_x"))
+    factor = F.pow(F.col("_n"), F.lit(-0.2)) if bw_method == "scott" else F.pow(F.col("_n") * 0.75, F.lit(-0.2))
+    s = vals.agg(F.count("_x").alias("_n"), F.stddev_samp("_x").alias("_sd"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+    s = (s.withColumn("_bw", F.col("_sd") * factor).withColumn("_d", (F.col("_mx") - F.col("_mn")) / bins)
+          .withColumn("_glo", F.col("_mn") - F.lit(cut) * F.col("_bw"))
+          .withColumn("_gstep", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_bw")) / F.lit(gridsize - 1)))
+    at = F.try_divide(F.col("_x") - F.col("_mn"), F.col("_d"))
+    low = F.least(F.floor(at), F.lit(bins - 1)).cast("int")
+    both = (with_stats(vals, s.select("_mn", "_d", "_bw")).where(F.col("_bw") > 0)
+            .select(low.alias("_low"), (at - low).alias("_part"))
+            .groupBy("_low").agg(F.count("*").alias("_c"), F.sum("_part").alias("_right")))
+    nodes = (both.select(F.explode(F.array(F.struct(F.col("_low").alias("j"), (F.col("_c") - F.col("_right")).alias("w")),
+                                           F.struct((F.col("_low") + 1).alias("j"), F.col("_right").alias("w")))).alias("_e"))
+             .select("_e.*").groupBy("j").agg(F.sum("w").alias("w")))
+    # bins + 1 rows, each into gridsize rows: a bounded table whatever the input
+    pairs = with_stats(nodes, s).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
+    u = (F.col("_glo") + F.col("k") * F.col("_gstep") - (F.col("_mn") + F.col("j") * F.col("_d"))) / F.col("_bw")
+    summed = pairs.groupBy("k").agg(F.sum(F.col("w") * F.exp(-0.5 * u * u)).alias("_ksum"))
+    norm = F.lit(1.0 / math.sqrt(2.0 * math.pi))
+    out = s.select(F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("k"), "_glo", "_gstep", "_n", "_bw", "_d").join(summed, "k", "left")
+    return out.select("k", (F.col("_glo") + F.col("k") * F.col("_gstep")).alias("x"),
+                      F.try_divide(F.coalesce(F.col("_ksum"), F.lit(0.0)) * norm, F.col("_n") * F.col("_bw")).alias("density"),
+                      F.try_divide(F.col("_d") * F.col("_d") * norm, 8 * F.col("_bw") * F.col("_bw") * F.col("_bw")).alias("error"))
+
+
 def stacked_bar_table(df: DataFrame, key: str, label: str = "churn", percent: bool = True,
                       classes: Sequence = rates.CLASSES) -> DataFrame:
     """CH4: per category and class the bar height (count or row percent) and its text label."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,17 +82,16 @@ def one_hot(df: DataFrame, column: str, prefix: str, width: int | None = None,
     NULLs are first filled with ``null_label`` (pandas ``fillna``); the dummy
     whose (cut) name equals ``drop_label`` is not created - the baseline
     category.  The category list is one bounded distinct job (the column set
-    must be known to build the plan); pass ``values`` to skip it.  A table of
-    more than ``max_categories`` dummy columns can't be planned: then the
-    dummies come as one sparse vector column ``<prefix>`` (:func:`one_hot_vector`).
+    must be known to build the plan); pass ``values`` to skip it.  More than
+    ``max_categories`` dummy columns can't be planned and raise: ask for the
+    vector form (:func:`one_hot_vector`) then.
     """
     src = df
     if null_label is not None:
         src = src.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
     cats = list(values) if values is not None else category_values(src, column, max_categories)
     if cats is None:
-        out = one_hot_vector(src, column, prefix)
-        return out if keep_source else out.drop(column)
+        raise ValueError(f"{column} has more than {max_categories} categories: use one_hot_vector")
     names = [f"{prefix}_{v}" for v in cats]
     if width is not None:
         names = project.truncate_names(names, width)
@@ -102,15 +101,26 @@ def one_hot(df: DataFrame, column: str, prefix: str, width: int | None = None,
     return out if keep_source else out.drop(column)
 
 
-def one_hot_vector(df: DataFrame, column: str, prefix: str) -> DataFrame:
+def one_hot_vector(df: DataFrame, column: str, prefix: str, null_label: str | None = None,
+                   drop_label: str | None = None) -> DataFrame:
     """FE5 for any number of categories: ``<prefix>_index`` and the sparse 0/1 vector ``<prefix>``.
 
     Positions follow the categories' order; a NULL has the last position.
+    ``null_label`` and ``drop_label`` as in :func:`one_hot`: with a baseline to
+    drop, the vector holds the other categories in order, the baseline's rows
+    are all zeros, and NULLs must have a label.  The model operators take the
+    vector as a feature column (``model.feature_columns``).
     """
+    if null_label is not None:
+        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
     index = f"{prefix}_index"
     indexer = StringIndexer(inputCol=column, outputCol=index, stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    return OneHotEncoder(inputCol=index, outputCol=prefix, dropLast=False).fit(indexer.transform(df)).transform(
-        indexer.transform(df))
+    base = [v for v in indexer.labelsArray[0] if drop_label is not None and f"{prefix}_{v}" == drop_label]
+    if base:
+        others = [v for v in indexer.labelsArray[0] if v not in base]
+        indexer = StringIndexerModel.from_labels([*others, *base], column, index, handleInvalid="error")
+    indexed = indexer.transform(df)
+    return OneHotEncoder(inputCol=index, outputCol=prefix, dropLast=bool(base)).fit(indexed).transform(indexed)
 
 
 def fold_rare(df: DataFrame, column: str, threshold: int = 75, replacement: str = "null_activity",

@@ -26,6 +26,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +45,31 @@ MAX_GBT_DEPTH = 30
 MIN_GAIN = 1e-6
 
 
+def _vectors(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, VectorUDT)]
+
+
 def feature_columns(df: DataFrame, exclude: Sequence[str] = EXCLUDE) -> list[str]:
-    """ML1: the model inputs - every numeric column except the key, label and date."""
-    return numeric_columns(df, exclude=list(exclude))
+    """ML1: the model inputs - every numeric or vector column except the key, label and date.
+
+    The category number that comes with a vector of dummies is no input.
+    """
+    vectors = _vectors(df)
+    numeric = numeric_columns(df, exclude=[*exclude, *(f"{v}_index" for v in vectors)])
+    return [c for c in df.columns if c in numeric or c in vectors and c not in exclude]
+
+
+def feature_names(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The name of every position of the assembled vector; dummies of a vector column are ``<column>_<category>``."""
+    names = []
+    for c in columns:
+        attrs = df.schema[c].metadata.get("ml_attr", {}).get("attrs", {}) if c in _vectors(df) else None
+        if attrs is None:
+            names.append(c)
+        else:
+            listed = sorted((a for kind in attrs.values() for a in kind), key=lambda a: a["idx"])
+            names += [f"{c}_{a['name']}" for a in listed]
+    return names
 
 
 def _missing(c: str):
@@ -54,7 +77,8 @@ def _missing(c: str):
 
 
 def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Which of ``columns`` hold a NULL or NaN (one aggregation, one row to the driver)."""
+    """Which of ``columns`` hold a NULL or NaN (one aggregation, one row to the driver); vectors hold neither."""
+    columns = [c for c in columns if c not in _vectors(df)]
     if not columns:
         return []
     row = df.agg(*[F.max(_missing(c).cast("int")).alias(c) for c in columns]).first()
@@ -69,7 +93,7 @@ def prepare_features(df: DataFrame, columns: Sequence[str], fill_value: float =
     """
     nullable = columns_with_nulls(df, columns)
     exprs = {}
-    for c in columns:
+    for c in [c for c in columns if c not in _vectors(df)]:
         x = F.col(c).cast("double")
         exprs[c] = F.when(x.isNull() | F.isnan(x), F.lit(fill_value)).otherwise(x)
     flags = {f"{c}_missing": _missing(c).cast("double") for c in nullable}
@@ -281,6 +305,9 @@ def grid_search(data: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequ
 def split_counts(model, columns: Sequence[str]) -> DataFrame:
     """ML17: number of splits that use each feature, over all trees, ranked.
 
+    ``columns`` names the positions of the assembled vector (``feature_names``
+    if some inputs are vectors).
+
     The fitted ensemble is written to the shared folder and its node table
     read back as a DataFrame; counting splits is then an ordinary
     aggregation.  (``featureImportances`` is gain based - another measure.)

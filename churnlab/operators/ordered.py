@@ -198,9 +198,63 @@ def quantile_row(df: DataFrame, columns: Sequence[str], p: float, suffix: str =
     return wide.select(*[F.col(c).alias(f"{c}{suffix}") for c in columns])
 
 
-def modes(df: DataFrame, columns: Sequence[str], cast: str | None = "string") -> DataFrame:
-    """(column, mode, cnt): most frequent non-null value per column; smallest value on ties."""
-    vc = value_counts(df, columns, cast=cast)
-    return vc.groupBy("column").agg(
+#: Items that the frequent-items summary of a column tracks, and the candidates counted exactly.
+TRACKED = 10_000
+CANDIDATES = 64
+#: The summary's count of a value is too low by at most this share of the column's values.
+SUMMARY_ERROR = 3.5 / (1 << math.ceil(math.log2(TRACKED / 0.75)))
+
+
+def _modes_of(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("column").agg(
         F.min_by(F.struct("value", "cnt"), F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v")))
         .alias("_m")).select("column", F.col("_m.value").alias("mode"), F.col("_m.cnt").alias("cnt"))
+
+
+def frequent_counts(df: DataFrame, columns: Sequence[str], cast: str | None = "string") -> tuple[dict[str, dict], list[str]]:
+    """Exact counts {column: {value: count}} of likely modes, and the columns they don't decide.
+
+    A mergeable summary per column (one aggregation, bounded memory) names
+    the candidates; a second pass counts only those, combined map-side.  A value
+    that is no candidate occurs in less than twice ``SUMMARY_ERROR`` of the
+    column's values; a leader above that is the mode, and so is every tie.
+    """
+    cols = list(columns)
+    value = {c: F.col(c).cast(cast) if cast else F.col(c) for c in cols}
+    src = df.select(*(value[c].alias(f"_v{i}") for i, c in enumerate(cols)))
+    row = src.agg(*[x for i in range(len(cols)) for x in (
+        F.count(f"_v{i}"), F.call_function("approx_top_k", F.col(f"_v{i}"), F.lit(CANDIDATES), F.lit(TRACKED)))]).first()
+    sizes = {c: row[2 * i] for i, c in enumerate(cols)}
+    named = [(i, t["item"]) for i in range(len(cols)) for t in row[2 * i + 1] or []]
+    counts: dict[str, dict] = {c: {} for c in cols}
+    if named:
+        # at most CANDIDATES rows a column
+        kind = src.schema["_v0"].dataType.simpleString()
+        wanted = F.broadcast(df.sparkSession.createDataFrame(named, f"_i int, value {kind}"))
+        long = src.select(F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("value"))
+                                              for i in range(len(cols))))).alias("_x")).select("_x.*")
+        for r in long.join(wanted, ["_i", "value"]).groupBy("_i", "value").count().collect():
+            counts[cols[r["_i"]]][r["value"]] = r["count"]
+    open_ = []
+    for c in cols:
+        most = max(counts[c].values(), default=0)
+        tied = sum(n == most for n in counts[c].values())
+        if sizes[c] and (most <= 2 * SUMMARY_ERROR * sizes[c] or tied == CANDIDATES):
+            open_.append(c)
+    return counts, open_
+
+
+def modes(df: DataFrame, columns: Sequence[str], cast: str | None = "string") -> DataFrame:
+    """(column, mode, cnt): most frequent non-null value per column; smallest value on ties.
+
+    Wide domains are not shuffled value by value: candidates come from a
+    summary and are counted exactly (``frequent_counts``).  Only a column without
+    a value that stands out is counted in full.  A column without values has no
+    row.  Needs one type for all columns; ``df`` is read two or three times.
+    """
+    counts, undecided = frequent_counts(df, columns, cast)
+    rows = [(c, min(v for v, n in kinds.items() if n == max(kinds.values())), max(kinds.values()))
+            for c, kinds in counts.items() if kinds and c not in undecided]
+    kind = df.select((F.col(columns[0]).cast(cast) if cast else F.col(columns[0])).alias("v")).schema["v"].dataType.simpleString()
+    decided = df.sparkSession.createDataFrame(rows, f"column string, mode {kind}, cnt bigint")
+    return decided.unionByName(_modes_of(value_counts(df, undecided, cast=cast))) if undecided else decided

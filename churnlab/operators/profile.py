@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.operators import ordered
@@ -152,23 +152,65 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                            F.element_at(names, F.col("j") + 1).alias("b"), "r")
 
 
-def duplicated_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+#: Bits of the filter of repeated row hashes: 128 kB, whatever the table.
+FILTER_BITS = 1 << 20
+
+
+def _row_hashes(cols: Sequence[str]) -> tuple[Column, Column]:
+    """128 bits of a row; the second half also tells which values are missing."""
+    marks = F.concat_ws("", *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
+    return F.xxhash64(*cols), F.xxhash64(F.lit("second"), marks, *cols)
+
+
+def _bit(h: Column, bits: int) -> tuple[Column, Column]:
+    """Word and bit of a hash in a filter of ``bits`` bits."""
+    at = F.pmod(h, F.lit(bits))
+    return F.shiftright(at, 6).cast("int"), (at % 64).cast("int")
+
+
+def repeated_filter(df: DataFrame, columns: Sequence[str], bits: int = FILTER_BITS) -> DataFrame:
+    """One row, ``words``: a Bloom filter (array of 64-bit words) of the hashes of rows that occur twice or more.
+
+    Only the 16-byte hashes are shuffled.
+    """
+    h1, h2 = _row_hashes(columns)
+    twice = df.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").count().where("count > 1")
+    marks = [F.struct(*(x.alias(n) for x, n in zip(_bit(F.col(c), bits), ("word", "bit"), strict=True))) for c in ("_h1", "_h2")]
+    words = (twice.select(F.explode(F.array(*marks)).alias("m")).groupBy(F.col("m.word").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, m.bit)")).alias("bits")))
+    spine = df.sparkSession.range(bits // 64, numPartitions=1).select(F.col("id").cast("int").alias("word"))
+    full = spine.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    # a bounded list: bits / 64 words
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("words"))
+
+
+def duplicated_rows(df: DataFrame, columns: Sequence[str] | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
     """IN10: second and later copies of fully duplicated rows (pandas ``duplicated()``).
 
     Rows are grouped on all columns (NULLs group together, as in pandas) and
     each group with count c > 1 emits c - 1 copies.  The copies are identical,
-    so no order is needed.
+    so no order is needed.  Before whole rows are shuffled, a filter built from
+    their hashes keeps those that may occur twice: where rows are distinct, 16
+    bytes a row cross the network instead of the row.  A filter filled by very
+    many duplicates lets more rows through and changes no result.  ``df`` is
+    read twice: pass a stored table if it is costly.
     """
-    cols = list(columns) if columns is not None else df.columns
+    names = list(columns) if columns is not None else df.columns
+    cols = [f"_d{i}" for i in range(len(names))]        # the rows' own names may clash with the helpers'
+    rows = df.select(*(F.col(c).alias(d) for c, d in zip(names, cols, strict=True)))
     chunk = F.lit(DUP_CHUNK).cast("bigint")
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
+    maybe = rows.withColumn("_words", repeated_filter(rows, cols, filter_bits).scalar())
+    for h in _row_hashes(cols):
+        word, bit = _bit(h, filter_bits)
+        maybe = maybe.where(F.call_function("bit_get", F.get("_words", word), bit) == 1)
+    g = maybe.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
     # copies 2..c are emitted in chunks of DUP_CHUNK so one huge duplicate group
     # never builds one giant array; the chunk rows are spread before expansion
     starts = (g.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 2) / chunk))))
                .withColumn("_s", F.col("_s") * chunk + 2))
     starts = starts.repartition(*[F.col(c) for c in cols], F.col("_s"))
     out = starts.withColumn("_k", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + chunk - 1, F.col("_c")))))
-    return out.drop("_c", "_s", "_k")
+    return out.select(*(F.col(d).alias(c) for c, d in zip(names, cols, strict=True)))
 
 
 def medians(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from churnlab import schemas
 from churnlab.operators import charts, features
 from churnlab.plans.catalog import register
@@ -66,6 +68,31 @@ def ch3_density_event_value(spark, sf):
     return f32(charts.density(fx.table(spark, sf, "events"), "value"))
 
 
+_BOUND = 300
+
+
+@register("ch3_density_binned", f"""
+WITH v AS (SELECT value AS x FROM events WHERE value IS NOT NULL),
+s0 AS (SELECT count(x) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v),
+s1 AS (SELECT *, sd * pow(n, -0.2) AS bw, (mx - mn) / {_BOUND} AS d FROM s0),
+s AS (SELECT *, mn - 3.0 * bw AS glo, (mx - mn + 6.0 * bw) / 99 AS gstep FROM s1),
+p AS (SELECT least(floor((x - mn) / d), {_BOUND - 1}) AS low, (x - mn) / d AS place FROM v, s),
+w AS (SELECT j, sum(w) AS w FROM (SELECT low AS j, 1 - (place - low) AS w FROM p UNION ALL SELECT low + 1, place - low FROM p) GROUP BY j),
+k AS (SELECT CAST(range AS INTEGER) AS k FROM range(100)),
+b AS (SELECT k, sum(w * exp(-0.5 * ((glo + k * gstep - mn - j * d) / bw) ** 2)) / any_value(n * bw * sqrt(2 * pi())) AS density FROM w, s, k GROUP BY k),
+e AS (SELECT k, sum(exp(-0.5 * ((glo + k * gstep - x) / bw) ** 2)) / any_value(n * bw * sqrt(2 * pi())) AS exact FROM v, s, k GROUP BY k)
+SELECT k, CAST(glo + k * gstep AS FLOAT) AS x, CAST(density AS FLOAT) AS density, CAST(d * d / (8 * sqrt(2 * pi()) * bw ** 3) AS FLOAT) AS error,
+       abs(density - exact) <= d * d / (8 * sqrt(2 * pi()) * bw ** 3) AS within
+FROM b JOIN e USING (k), s
+""")
+def ch3_density_binned(spark, sf):
+    """The binned density with its bound, and whether the exact density lies inside."""
+    ev = fx.table(spark, sf, "events")
+    exact = charts.density(ev, "value").select("k", F.col("density").alias("exact"))
+    both = charts.density_binned(ev, "value", bins=_BOUND).join(exact, "k")
+    return f32(both.withColumn("within", F.abs(F.col("density") - F.col("exact")) <= F.col("error")).drop("exact"))
+
+
 _CELLS = ", ".join(f"CASE WHEN count(*) FILTER (WHERE churn = {v}) > 0 THEN count(id) FILTER (WHERE churn = {v}) END "
                    f"AS class_{v}" for v in (0, 1))
 

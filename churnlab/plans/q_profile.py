@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlab import schemas
-from churnlab.operators import filters, profile, project, rates
+from churnlab.operators import filters, profile, project, rates, sketches
 from churnlab.plans.catalog import register
 from churnlab.plans.util import f32, rnd
+from churnlab.session import materialize
 from churnlab.sources import fixtures as fx
 from churnlab.sources import readers
 
@@ -151,6 +152,51 @@ def ag10_mode_dates(spark, sf):
     return profile.modes(fx.cust_churn(spark, sf), _DATES)
 
 
+_WIDE = ("WITH wide AS (SELECT l_orderkey * 10 + l_linenumber AS part, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, "
+         "CASE WHEN l_orderkey % 10 < 3 THEN l_orderkey % 2 WHEN l_linenumber < 6 THEN l_orderkey * 10 + l_linenumber END AS often FROM lineitem) ")
+
+
+@register("ag10_mode_wide_domains", _WIDE + _union(
+    f"SELECT '{c}' AS \"column\", value AS mode, cnt FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM wide "
+    f"WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, value LIMIT 1)" for c in ("price", "often", "part")))
+def ag10_mode_wide_domains(spark, sf):
+    """Modes of columns with about as many values as rows: one with two leaders that tie or nearly do, two without any."""
+    li = fx.table(spark, sf, "lineitem")
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    wide = li.select((key * 10 + line).alias("part"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"),
+                     F.when(key % 10 < 3, key % 2).when(line < 6, key * 10 + line).alias("often"))
+    return profile.modes(wide, ["price", "often", "part"])
+
+
+_SKETCHED = ["price_p1_var", "price_p2_var", "price_p1_fix"]
+
+
+@register("in5_sketches_by_month", _union(
+    f"SELECT substr(price_date, 1, 7) AS part, '{c}' AS \"column\", count({c}) AS n FROM prices GROUP BY ALL HAVING count({c}) > 0"
+    for c in _SKETCHED), ("prices",))
+def in5_sketches_by_month(spark, sf):
+    """Values in every stored sketch, one per month and price column."""
+    s = sketches.build(fx.prices(spark, sf), _SKETCHED, F.substring("price_date", 1, 7))
+    return s.select("part", "column", F.kll_sketch_get_n_double("sketch").alias("n"))
+
+
+@register("ag13_quartiles_from_sketches", _union(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, TRUE AS q25, TRUE AS q50, TRUE AS q75 FROM prices" for c in _SKETCHED), ("prices",))
+def ag13_quartiles_from_sketches(spark, sf):
+    """Quartiles of merged monthly sketches; true where the quantile's exact rank is within the stated error."""
+    p = fx.prices(spark, sf)
+    stored = materialize(sketches.build(p, _SKETCHED, F.substring("price_date", 1, 7)), "sketches")
+    found = {r["column"]: r for r in sketches.describe(stored).collect()}
+    e, probs = sketches.rank_error(), (0.25, 0.5, 0.75)
+    rows = []
+    ranks = p.agg(*[x.alias(f"{c}_{i}_{side}") for c in _SKETCHED for i, nm in enumerate(("p25", "p50", "p75"))
+                    for side, x in (("below", F.count_if(F.col(c) < found[c][nm])), ("upto", F.count_if(F.col(c) <= found[c][nm])))]).first()
+    for c in _SKETCHED:
+        n = found[c]["n"]
+        rows.append((c, n, *(ranks[f"{c}_{i}_below"] <= (q + e) * n and ranks[f"{c}_{i}_upto"] >= (q - e) * n for i, q in enumerate(probs))))
+    return spark.createDataFrame(rows, "column string, n bigint, q25 boolean, q50 boolean, q75 boolean")
+
+
 @register("ag13_quartiles_cons_12m", """
 SELECT 'cons_12m' AS "column", round(quantile_cont(cons_12m, 0.25), 6) AS q25,
        round(quantile_cont(cons_12m, 0.75), 6) AS q75 FROM cust_churn

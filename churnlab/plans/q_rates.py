@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from churnlab.operators import joins, rates
 from churnlab.plans.catalog import register
 from churnlab.plans.util import rnd
+from churnlab.sources import bucketed
 from churnlab.sources import fixtures as fx
 
 _CELL = ("CASE WHEN count(*) FILTER (WHERE churn = {v}) > 0 "
@@ -37,6 +40,18 @@ def jo2_join_price_history(spark, sf):
     return joins.join_history(cc, p)
 
 
+@register("jo2_join_price_history_bucketed", """
+SELECT c.id, c.churn, p.price_date, p.price_p1_var, p.price_p3_var
+FROM cust_churn c JOIN prices p ON c.id = p.id
+""", ("cust_churn", "prices"))
+def jo2_join_price_history_bucketed(spark, sf):
+    """Both sides stored in buckets of the key; the join itself shuffles nothing."""
+    run = uuid.uuid4().hex
+    cc = bucketed.store(fx.cust_churn(spark, sf).select("id", "churn"), f"customers_{run}", "id", 8)
+    p = bucketed.store(fx.prices(spark, sf).select("id", "price_date", "price_p1_var", "price_p3_var"), f"prices_{run}", "id", 8)
+    return joins.join_history(cc, p)
+
+
 @register("jo2_join_price_history_salted", """
 SELECT c.id, c.churn, p.price_date, p.price_p1_var, p.price_p3_var
 FROM cust_churn c JOIN prices p ON c.id = p.id

@@ -60,3 +60,19 @@ def test_density_of_a_constant_column_is_null(spark):
     df = spark.createDataFrame([(5.0,), (5.0,), (None,)], "x double")
     got = charts.density(df, "x", gridsize=4).collect()
     assert len(got) == 4 and all(r["density"] is None for r in got)
+
+
+def test_binned_density_is_within_its_bound(spark):
+    rng = np.random.default_rng(5)
+    values = np.r_[rng.normal(0, 1, 3000), rng.normal(9, .2, 500)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    exact = {r.k: r for r in charts.density(df, "x").collect()}
+    errors = []
+    for bins in (20, 400):
+        rows = charts.density_binned(df, "x", bins=bins).collect()
+        assert len(rows) == 100
+        for r in rows:
+            assert abs(r.x - exact[r.k].x) < 1e-9 and abs(r.density - exact[r.k].density) <= r.error + 1e-12
+        errors.append(rows[0].error)
+    assert abs(errors[0] / errors[1] - 400) < 1e-6
+    assert all(r.density is None for r in charts.density_binned(df.where("x is null or x = 0.5"), "x").collect())

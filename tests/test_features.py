@@ -67,3 +67,42 @@ def test_scalar_helpers(spark):
     assert r["a"] == 2.0 and r["b"] is None and r["c"] == 0.0 and r["l"] == "J\n2016"
     assert math.isclose(df.select(S.log10p1("x")).first()[0], math.log10(3.5))
     assert spark.createDataFrame([(None,)], "x double").select(S.clamp("x")).first()[0] is None
+
+
+def test_too_many_categories_raise_and_the_vector_form_equals_the_columns(spark):
+    from pyspark.ml.functions import vector_to_array
+    from churnlab.operators import model
+    df = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(["b", None, "a", "c", "a", "n"])], "id long, c string, x double")
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        features.one_hot(df, "c", "p", max_categories=3)
+    wide = features.one_hot(df, "c", "p", null_label="n", drop_label="p_n")
+    vector = features.one_hot_vector(df, "c", "p", "n", "p_n")
+    cols, names = model.feature_columns(vector), None
+    assert cols == ["x", "p"]                       # the category number is no input
+    names = model.feature_names(vector, cols)
+    assert names == ["x", "p_a", "p_b", "p_c"] == model.feature_columns(wide)
+    for rows in zip(*(sorted(f.select("id", vector_to_array("f")).collect()) for f in (
+            model.assembler(cols, "f").transform(vector), model.assembler(names, "f").transform(wide))), strict=True):
+        assert rows[0] == rows[1]
+    filled, after = model.prepare_features(vector, cols)
+    assert after == cols and filled.count() == 6
+
+
+def test_flow_in_vector_form_gives_the_same_model(spark):
+    from dataclasses import replace
+    from conftest import SF001
+    from churnlab.operators import model
+    from churnlab.plans import flows
+    from churnlab.sources import fixtures as fx
+    cfg = flows.FIXTURE_CONFIG
+    found = []
+    for vector in (False, True):
+        specs = tuple(replace(s, vector=vector, width=None, rare_threshold=3) for s in cfg.one_hot)
+        m = flows.customer_matrix(fx.customers(spark, SF001), fx.churn_flags(spark, SF001), replace(cfg, one_hot=specs, correlated_drop=()))
+        data, cols = model.prepare_features(m, model.feature_columns(m))
+        names = model.feature_names(data, cols)
+        # the same inputs in the same order: dummies by name
+        fitted = model.fit(data, cols, {"max_depth": 3, "n_estimators": 3})
+        counts = {r.feature: r.splits for r in model.split_counts(fitted, names).collect()}
+        found.append((set(names), counts))
+    assert found[0][0] == found[1][0] and sum(found[0][1].values()) == sum(found[1][1].values())

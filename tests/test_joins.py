@@ -19,3 +19,24 @@ def test_salted_join_equals_plain_with_hot_key(spark):
     plain = sorted(tuple(r) for r in joins.join_history(ents, hist).collect())
     salted = sorted(tuple(r) for r in joins.join_history(ents, hist, salt_buckets=7).collect())
     assert plain == salted and len(plain) == 600
+
+
+def test_bucketed_join_has_no_exchange_and_the_same_rows(spark):
+    from churnlab.sources import bucketed
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = spark.range(200).select("id", (F.col("id") % 2).alias("churn"))
+        h = spark.range(3000).select((F.col("id") * 7 % 260).alias("id"), F.col("id").alias("price"))
+        left, right = bucketed.store(e, "t_entities", "id", 8), bucketed.store(h, "t_history", "id", 8)
+        joined = joins.join_history(left, right)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, joins.join_history(e, h).collect()))
+        again = bucketed.store(e.where("id < 5"), "t_entities", "id", 8)
+        assert again.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS t_entities")
+        spark.sql("DROP TABLE IF EXISTS t_history")
+    assert bucketed.bucket_count(1) == 8 and bucketed.bucket_count(100 << 30) == 512

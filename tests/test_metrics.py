@@ -1,6 +1,9 @@
+import hashlib
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from churnlab.operators import metrics, splits
 
@@ -152,8 +155,6 @@ def test_binned_curve_lies_on_the_exact_one_and_within_its_bound(spark):
 
 
 def test_exact_split_sizes_ties_and_order(spark):
-    import math
-    from churnlab.operators import splits
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), F.lit("x").alias("_t"))
     for size in (0.33, 0.001, 1.0, 0.0):
         got = splits.exact_train_test_split(df, ["id"], size).collect()
@@ -168,7 +169,6 @@ def test_exact_split_sizes_ties_and_order(spark):
 
 
 def test_kth_smallest_by_passes(spark, monkeypatch):
-    from churnlab.operators import splits
     monkeypatch.setattr(splits, "LISTED", 4)
     monkeypatch.setattr(splits, "RANGES", 8)
     values = sorted([5] * 40 + [2 ** 59 + 3] * 3 + list(range(0, 400, 7)))

@@ -80,3 +80,21 @@ def test_quantiles_through_narrowed_brackets(spark, monkeypatch):
     for i, c in enumerate("abcde"):
         v = [r[i] for r in rows if r[i] is not None]
         assert got[c] == ([None] * 6 if not v else [float(np.quantile(v, p)) for p in probs]) or np.allclose(got[c], np.quantile(v, probs), rtol=1e-12)
+
+
+def test_modes_of_wide_domains_ties_and_nulls(spark):
+    n = 100_000
+    x = F.col("id")
+    df = spark.range(n, numPartitions=6).select(
+        x.alias("unique"), F.when(x % 50 == 0, "b").when(x % 50 == 1, "a").otherwise(F.concat(F.lit("v"), x)).alias("tie"),
+        F.when(x % 1000 == 7, x % 3).when(x % 2 == 0, x).alias("weak"), F.lit(None).cast("long").alias("none"),
+        (x % 100).alias("flat"))
+    counts, undecided = ordered.frequent_counts(df, ["unique", "tie", "weak", "none", "flat"])
+    assert undecided == ["unique", "flat"]
+    assert counts["tie"]["a"] == counts["tie"]["b"] == n // 50
+    got = {r["column"]: (r["mode"], r["cnt"]) for r in ordered.modes(df, ["unique", "tie", "weak", "none", "flat"]).collect()}
+    assert got["unique"] == ("0", 1) and got["tie"] == ("a", n // 50) and "none" not in got
+    most = {k: sum(1 for i in range(7, n, 1000) if i % 3 == k) + (k % 2 == 0) for k in range(3)}
+    assert got["weak"][1] == max(most.values())
+    assert got["flat"] == ("0", n // 100)       # more ties than candidates
+    assert ordered.modes(df.limit(0), ["tie"]).collect() == []

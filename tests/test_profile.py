@@ -73,3 +73,27 @@ def test_truncate_names_collision_raises():
         assert "collide" in str(e)
     else:
         raise AssertionError("expected a collision error")
+
+
+def test_duplicates_equal_a_plain_count_whatever_the_filter(spark):
+    import random
+    from collections import Counter
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 1, 2, 3]), rnd.choice([None, "a", "b", ""]), rnd.choice([0.0, 1.5, None])) for _ in range(60)]
+    rows += [(i, f"only {i}", float(i)) for i in range(10, 300)]
+    df = spark.createDataFrame(rows, "_words long, b string, _h1 double")     # clashing names
+    want = sorted((r for r, c in Counter(rows).items() for _ in range(c - 1)), key=str)
+    for bits in (64, profile.FILTER_BITS):
+        got = sorted((tuple(r) for r in profile.duplicated_rows(df, filter_bits=bits).collect()), key=str)
+        assert got == want
+    assert profile.duplicated_rows(df.limit(0)).count() == 0
+
+
+def test_whole_rows_cross_no_exchange_before_the_filter(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(500).selectExpr("id", "cast(id % 400 as string) as name", "id * 2.0 as value").write.parquet(path)
+    plan = profile.duplicated_rows(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    # the whole rows are scanned, filtered by both bits, and only then grouped
+    main = plan.split("scalar-subquery")[0]
+    assert "Filter" in main and main.rindex("Aggregate") < main.rindex("Filter")
+    assert main.count("Aggregate") == 1
