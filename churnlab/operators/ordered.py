@@ -31,10 +31,21 @@ from churnlab.session import materialize
 ROWS_PER_RANGE = 2_000_000
 
 
-def _num_partitions(stored: DataFrame) -> int:
-    """Ranges for a stored table; its rows are counted from the files' footers."""
-    least = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, math.ceil(stored.count() / ROWS_PER_RANGE))
+def _ranges(df: DataFrame, by: list[Column], partitions: int | None) -> DataFrame:
+    """``df`` stored in ranges of ``by``, each with its number ``_pid``.
+
+    The stored rows are counted from the files' footers; only if there are too
+    many for the session's number of partitions are they dealt again, from the
+    stored table, into as many ranges as they need.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def dealt(rows: DataFrame, n: int) -> DataFrame:
+        return materialize(rows.repartitionByRange(n, *by).withColumn("_pid", F.spark_partition_id()), "prefix_ranges")
+
+    ranged = dealt(df, n)
+    needed = 0 if partitions else math.ceil(ranged.count() / ROWS_PER_RANGE)
+    return dealt(ranged.drop("_pid"), needed) if needed > n else ranged
 
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
@@ -46,22 +57,16 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     own.  Intended for few groups (classes, column names); many small groups
     are better served by an ordinary partitioned window.
 
-    ``df`` is evaluated once, into a stored table: its row count decides the
-    number of ranges and Spark samples it for their bounds.  With ``partitions``
-    given it is not stored first (and evaluated twice: sample and ranges).
+    ``df`` is not evaluated to count it; the number of ranges follows from
+    what was stored (``_ranges``).
     """
     groups = list(group_cols)
-    if not partitions:
-        df = materialize(df, "prefix_input")
-    n = partitions or _num_partitions(df)
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], *order)
-                .withColumn("_pid", F.spark_partition_id()))
     # The range bounds come from a sample whose rows depend on arrival order,
     # and the two uses below prune columns differently (so Spark would not
     # reuse one exchange): without materialising, each use could see other
     # bounds.  A parquet stage in the shared checkpoint folder fixes the
     # partition ids once and survives lost executors (a cache would be recomputed).
-    ranged = materialize(ranged, "prefix_ranges")
+    ranged = _ranges(df, [*(F.col(g) for g in groups), *order], partitions)
     w_local = (Window.partitionBy("_pid", *groups).orderBy(*order)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(w_local), F.lit(0)) for c in sum_cols})

@@ -156,26 +156,24 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 FILTER_BITS = 1 << 20
 
 
-def _row_hashes(cols: Sequence[str]) -> tuple[Column, Column]:
-    """128 bits of a row; the second half also tells which values are missing."""
-    marks = F.concat_ws("", *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
-    return F.xxhash64(*cols), F.xxhash64(F.lit("second"), marks, *cols)
+def _row_hash(cols: Sequence[str]) -> Column:
+    """64 bits of a row; which values are missing counts too (the hash of a NULL alone would be no hash)."""
+    return F.xxhash64(*cols, *(F.col(c).isNull() for c in cols))
 
 
-def _bit(h: Column, bits: int) -> tuple[Column, Column]:
-    """Word and bit of a hash in a filter of ``bits`` bits."""
-    at = F.pmod(h, F.lit(bits))
-    return F.shiftright(at, 6).cast("int"), (at % 64).cast("int")
+def _bits(h: Column, bits: int) -> list[tuple[Column, Column]]:
+    """(word, bit) of the two places of a hash in a filter of ``bits`` bits."""
+    places = (F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits)))
+    return [(F.shiftright(at, 6).cast("int"), (at % 64).cast("int")) for at in places]
 
 
 def repeated_filter(df: DataFrame, columns: Sequence[str], bits: int = FILTER_BITS) -> DataFrame:
     """One row, ``words``: a Bloom filter (array of 64-bit words) of the hashes of rows that occur twice or more.
 
-    Only the 16-byte hashes are shuffled.
+    Only the 8-byte hashes are shuffled.
     """
-    h1, h2 = _row_hashes(columns)
-    twice = df.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").count().where("count > 1")
-    marks = [F.struct(*(x.alias(n) for x, n in zip(_bit(F.col(c), bits), ("word", "bit"), strict=True))) for c in ("_h1", "_h2")]
+    twice = df.select(_row_hash(columns).alias("_h")).groupBy("_h").count().where("count > 1")
+    marks = [F.struct(w.alias("word"), b.alias("bit")) for w, b in _bits(F.col("_h"), bits)]
     words = (twice.select(F.explode(F.array(*marks)).alias("m")).groupBy(F.col("m.word").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, m.bit)")).alias("bits")))
     spine = df.sparkSession.range(bits // 64, numPartitions=1).select(F.col("id").cast("int").alias("word"))
@@ -190,7 +188,7 @@ def duplicated_rows(df: DataFrame, columns: Sequence[str] | None = None, filter_
     Rows are grouped on all columns (NULLs group together, as in pandas) and
     each group with count c > 1 emits c - 1 copies.  The copies are identical,
     so no order is needed.  Before whole rows are shuffled, a filter built from
-    their hashes keeps those that may occur twice: where rows are distinct, 16
+    their hashes keeps those that may occur twice: where rows are distinct, 8
     bytes a row cross the network instead of the row.  A filter filled by very
     many duplicates lets more rows through and changes no result.  ``df`` is
     read twice: pass a stored table if it is costly.
@@ -200,8 +198,7 @@ def duplicated_rows(df: DataFrame, columns: Sequence[str] | None = None, filter_
     rows = df.select(*(F.col(c).alias(d) for c, d in zip(names, cols, strict=True)))
     chunk = F.lit(DUP_CHUNK).cast("bigint")
     maybe = rows.withColumn("_words", repeated_filter(rows, cols, filter_bits).scalar())
-    for h in _row_hashes(cols):
-        word, bit = _bit(h, filter_bits)
+    for word, bit in _bits(_row_hash(cols), filter_bits):
         maybe = maybe.where(F.call_function("bit_get", F.get("_words", word), bit) == 1)
     g = maybe.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
     # copies 2..c are emitted in chunks of DUP_CHUNK so one huge duplicate group

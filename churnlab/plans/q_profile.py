@@ -133,7 +133,8 @@ def in10_duplicated_price_rows(spark, sf):
     """Whole-row duplicates of the price history, with copies of some customers' rows planted."""
     p = fx.prices(spark, sf)
     planted = p.unionByName(p.where("id % 7 = 3")).unionByName(p.where("id % 14 = 3"))
-    return profile.duplicated_rows(planted.select(*_ALL))
+    # read twice, for the hashes and for the rows
+    return profile.duplicated_rows(materialize(planted.select(*_ALL), "planted"))
 
 
 @register("ag9_median_prices",
