@@ -165,9 +165,9 @@ def fit_rows(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int = 48, pair_b
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> AdditiveModel:
     sample, counts = labelled_sample(labels.select("doc_id", label), label, per_class)
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .limit(int(2.6 * per_class)))
-    got = map_texts(rows, _Features(), "x array<double>", ("label",)).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # texts become 15 numbers where they are read; only these meet in one place
+    got = map_texts(rows, _Features(), "x array<double>", ("label",)).limit(int(2.6 * per_class)).collect()
     y = np.array([r["label"] for r in got], float)
     if len(set(y.tolist())) < 2:
         share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 1.0

@@ -13,8 +13,9 @@ boilerplate if it is frequent, if it is a licence or navigation line, or if
 symbols, table bars or shouting fill it.
 The field learns from these and spreads them along neighbouring lines.
 
-A line with a blank is frequent if it occurs in the share ``often`` of all
-texts of the table, and in ``LEAST_TEXTS`` at least; equal texts count once.
+A line of ``LEAST_CHARS`` characters or more, of one word or many, is frequent
+if it occurs in the share ``often`` of all texts of the table, and in
+``LEAST_TEXTS`` at least; equal texts count once.
 The counts are a shuffle of 16 bytes a line over the whole table.  As a share
 decides, there are at most (mean number of lines of a text / ``often``)
 frequent lines however large the table is; their 8-byte hashes go to every
@@ -31,7 +32,9 @@ get equal rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Set
+from array import array
+from bisect import bisect_left
+from collections.abc import Container
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -55,6 +58,8 @@ _BLANK = " \t\n\x0b\x0c\r"
 SAMPLE = 2_000
 OFTEN = 2e-5
 LEAST_TEXTS = 10
+#: Characters of a line that can be frequent in the table; shorter ones meet by chance.
+LEAST_CHARS = 8
 #: Prior weight of boilerplate for frequent lines: a sample may hold few or none of them.
 FREQUENT = 8.0
 
@@ -67,13 +72,14 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def line_features(text: str, frequent: Set[int] = frozenset()) -> tuple[list[tuple[int, ...]], list[str]]:
+def line_features(text: str, frequent: Container[int] = frozenset()) -> tuple[list[tuple[int, ...]], list[str]]:
     """Feature values of each line with a word, and the lines; ``frequent``: hashes of the table's frequent lines."""
     lines = [s for x in text.split("\n") if (s := x.strip(_BLANK))]
     seen: dict[str, int] = {}
     for x in lines:
         seen[x] = seen.get(x, 0) + 1
     out, last = [], len(lines) - 1
+    any_frequent = bool(frequent)
     for i, x in enumerate(lines):
         size, blanks = len(x), x.count(" ")
         data = x.encode()
@@ -85,7 +91,7 @@ def line_features(text: str, frequent: Set[int] = frozenset()) -> tuple[list[tup
         digits = len(data) - len(data.translate(None, b"0123456789"))
         out.append((_step(blanks, 0, 2, 9, 29), _step(symbols / size, 0, .02, .1), _step(bars / (blanks + 1), 0, .2),
                     _step(up / size, .2, .6), _step(digits / size, .02, .3), int(x[-1] in ".!?:;\"'"),
-                    int(_NOTICE.search(x) is not None), (seen[x] > 1) + 2 * (blanks > 0 and bool(frequent) and _hash(data) in frequent),
+                    int(_NOTICE.search(x) is not None), (seen[x] > 1) + 2 * (size >= LEAST_CHARS and any_frequent and _hash(data) in frequent),
                     0 if i == 0 else 2 if i == last else 1,
                     _step(size, 20, 80, 300)))
     return out, lines
@@ -178,10 +184,10 @@ def train(values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int
 
 
 class _Hashes:
-    """A text's hash and the hashes of its distinct lines with a blank."""
+    """A text's hash and the hashes of its distinct lines of ``LEAST_CHARS`` characters or more, with blanks or without."""
 
     def __call__(self, texts: list[str]) -> dict[str, object]:
-        lines = [{s for x in t.split("\n") if " " in (s := x.strip(_BLANK))} for t in texts]
+        lines = [{s for x in t.split("\n") if len(s := x.strip(_BLANK)) >= LEAST_CHARS} for t in texts]
         return {"text_hash": [_hash(t.encode()) for t in texts], "line": [[_hash(x.encode()) for x in s] for s in lines]}
 
 
@@ -194,10 +200,24 @@ def frequent_lines(docs: DataFrame, n: int, often: float = OFTEN, least: int = L
     return np.sort(rows.column("line").to_numpy())
 
 
-def _as_set(task: _Lines | _Judge) -> frozenset[int]:
-    """The task's frequent hashes as a set, made once a worker."""
+class Sorted:
+    """Membership in sorted 64-bit numbers, 8 bytes each."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers = array("q", numbers.astype("<i8").tobytes())
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __contains__(self, x: int) -> bool:
+        i = bisect_left(self.numbers, x)
+        return i < len(self.numbers) and self.numbers[i] == x
+
+
+def _as_set(task: _Lines | _Judge) -> Sorted:
+    """The task's frequent hashes for lookups, made once a worker."""
     if "_set" not in task.__dict__:
-        task._set = frozenset(task.frequent.tolist())
+        task._set = Sorted(task.frequent)
     return task._set
 
 

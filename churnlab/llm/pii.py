@@ -111,8 +111,14 @@ class Nodes:
 N_FEATURES = 33
 
 
+def _over_255(part: str) -> bool:
+    """Whether a decimal number of any length is over 255."""
+    n = part.lstrip("0")
+    return part.isdecimal() and (len(n) > 3 or int(n or 0) > 255)
+
+
 def _features(text: str, a: int, b: int) -> tuple[int, ...]:
-    s = text[a:min(b, a + 80)]
+    s = text[a:b]
     n = sum("0" <= c <= "9" for c in s)
     letters = sum(c.isalpha() for c in s)
     dots = s.count(".")
@@ -123,7 +129,7 @@ def _features(text: str, a: int, b: int) -> tuple[int, ...]:
                             letters > n, "-" in s, "(" in s or ")" in s, " " in s, len(s) > 12, len(s) > 20, len(s) > 39,
                             before[-1:] in ("=", ":", '"'), len(parts) == 4 and all(0 < len(p) < 4 for p in parts), n == len(s),
                             s[0] == "0", text[b:b + 1] in ('"', "/", "_"), a == 0, 13 < n < 20 and luhn(_digits(s)),
-                            13 < n < 20 and not luhn(_digits(s)), any(p.isdecimal() and int(p) > 255 for p in parts))):
+                            13 < n < 20 and not luhn(_digits(s)), any(map(_over_255, parts)))):
         if on:
             flags.append(13 + k)
     return tuple(flags)

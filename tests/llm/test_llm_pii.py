@@ -115,3 +115,12 @@ def test_every_text_converges():
     a = np.arange(59)
     p = field.beliefs(emit, (a, a + 1, np.zeros(59, np.int64)))      # a chain of 60: evidence moves one node a round
     assert p[59, 1] > .9
+
+
+def test_features_see_whole_tokens():
+    from churnlab.llm import pii
+    token = "1" * 90 + "@" + "x" * 5
+    flags = pii._features(token, 0, len(token))
+    assert 13 in flags                              # the @ lies after the 90th character
+    assert pii._over_255("256") and pii._over_255("0" * 9000 + "300") and pii._over_255("9" * 9000)
+    assert not any(map(pii._over_255, ("255", "000", "0" * 5000 + "7", "x300", "")))

@@ -133,3 +133,15 @@ def test_line_frequency_over_the_whole_table(spark):
     some = df.where("doc_id % 500 = 0 AND doc_id < 6000 OR doc_id = 6001")
     got = {r.doc_id: r.line_labels for r in line_crf.judge(some, field, keep=("doc_id",)).collect()}
     assert all(v == ([0, 0] if k == 6001 else [0, 0, 0, 0, 1]) for k, v in got.items()) and len(got) == 13
+
+
+def test_lines_without_a_blank_can_be_frequent(spark):
+    from churnlab.llm import line_crf
+    menu, script, short = "Impressum-und-Kontakt", "利用規約とプライバシー方針", "Menü"
+    rows = [(i, f"text number {i} says {i * i}\n{menu}\n{script}\n{short}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_crf.Sorted(line_crf.frequent_lines(df, 40))
+    assert all(line_crf._hash(x.encode()) in found for x in (menu, script))
+    assert line_crf._hash(short.encode()) not in found and len(found) == 2
+    values, lines = line_crf.line_features(rows[3][1], found)
+    assert [v[7] for v in values] == [0, 2, 2, 0] and lines[1:] == [menu, script, short]
