@@ -16,7 +16,7 @@ def test_oracle_sql_runs_in_duckdb():
     from conftest import SF001
     m = importlib.import_module("__spark_entry__")
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "part", "events", "documents", "benchmark", "conversations", "labels"):
+    for t in ("customer", "orders", "lineitem", "part", "events", "documents", "benchmark", "conversations", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     for name, sql in m.oracle_sql().items():
         con.execute(sql).fetchall()
