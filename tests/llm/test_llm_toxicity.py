@@ -90,3 +90,52 @@ def test_windows_when_no_fragment_stands_out():
     assert not X.standing_out([t for t, y in zip(texts, labels, strict=True) if y], [t for t, y in zip(texts, labels, strict=True) if not y])
     score = model.score(texts)
     assert model.toxic and score[labels == 1].mean() > score[labels == 0].mean() + .2
+
+
+def test_copies_are_counted_once():
+    texts, labels = _wide(6, 20)
+    assert len({X.copy_key(t) for t in texts}) == len(texts)
+    copies = [texts[0] + " qqzzjjxxk"] * 40          # one toxic text forty times: its own word proves nothing
+    model = X.fit_texts(texts + copies, np.append(labels, [1.0] * 40), .1)
+    assert model.words and b"qqzzj" not in model.toxic
+
+
+def test_differences_are_those_of_plain_dictionaries():
+    import zstandard as z
+    texts, labels = _wide(6, 20)
+    model = X.fit_texts(texts, labels, .1)
+    size = len(model.words) + len(model.toxic)
+    again = model.ordinary * (size // len(model.ordinary) + 1)
+    tails = (again[:size], model.words + model.toxic, again[:len(model.words)] + model.toxic)
+    log = max(16, (len(model.ordinary) + size).bit_length())
+    how = z.ZstdCompressionParameters(window_log=log + 1, hash_log=log, chain_log=log, search_log=6, min_match=5, target_length=64,
+                                      strategy=z.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def length(w, tail):
+        d = z.ZstdCompressionDict(model.ordinary + tail, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(w + model.ordinary[:X.TAIL]))
+
+    for t in [*texts[:4], *texts[-4:], ""]:
+        want = [[length(w, tails[0]) - length(w, tail) for w in X.windows(t)] for tail in tails[1:]]
+        assert model.differences(t).tolist() == want
+
+
+def test_gram_counts_by_brute_force(spark):
+    texts, labels = _wide(6, 20)
+    rows = [(i % X.FOLDS, int(y), i % 5 > 0, t) for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
+    ev = X._evidence(spark.createDataFrame(rows, "fold int, label int, lead boolean, text string"))
+    for fold in (-1, 0, 3):
+        own = [[t for f, y, lead, t in rows if lead and y == k and f != fold] for k in (1, 0)]
+        assert ev.grams_without(fold) == X.standing_out(*own)
+    assert sum(ev.texts.values()) == len(rows) and sum(ev.leads.values()) == sum(r[2] for r in rows)
+
+
+def test_recall_and_false_alarms_apart(spark):
+    """Of 120 held-out toxic and 870 other documents of sf0.1: 82 % found, 3.6 % flagged when written."""
+    from conftest import SF01
+    from churnlab.llm.queries import op7_toxicity
+    big = SF01.replace("sf0.01", "sf0.1")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect() if r.toxic is not None}
+    held = [(r.predicted, truth[r.doc_id]) for r in op7_toxicity(spark, big).collect() if r.held_out and r.doc_id in truth]
+    assert np.mean([p for p, y in held if y == 1]) > .75
+    assert np.mean([p for p, y in held if y == 0]) < .05
