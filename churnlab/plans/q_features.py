@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnlab import schemas
@@ -96,8 +95,9 @@ def fe5_one_hot_many(spark, sf):
     """More categories than dummy columns could hold: the position of the 1 in each row's sparse vector."""
     df = fx.table(spark, sf, "customer").where("c_name IS NOT NULL").select("c_custkey", "c_name")
     hot = features.one_hot_vector(df, "c_name", "phone")
+    vector = F.unwrap_udt("phone")      # sparse: its size is a field, no row is spread out to all categories
     return hot.select("c_custkey", F.col("phone_index").cast("int").alias("position"),
-                      F.size(vector_to_array("phone")).alias("size"))
+                      F.coalesce(vector["size"], F.size(vector["values"])).alias("size"))
 
 
 @register("fe6_fold_rare_brands", """
