@@ -43,7 +43,7 @@ _CL2 = (f"WITH m AS ({_MED})\nSELECT id, price_date, "
           f"SELECT id, price_date, " + ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in PM) + f" FROM ({_CL2})",
           ("prices",))
 def cl2_fill_prices_with_median(spark, sf):
-    return f32(clean.fill_with_median(fx.prices(spark, sf), PM))
+    return f32(clean.fill_with_median(fx.stored_prices(spark, sf), PM))
 
 
 @register("cl3_negative_fixed_prices_to_median",
@@ -53,7 +53,7 @@ def cl2_fill_prices_with_median(spark, sf):
           + " FROM f, m", ("prices",))
 def cl3_negative_fixed_prices_to_median(spark, sf):
     """CL2 + CL3 as in the reference (the oracle takes the second median over the filled column)."""
-    return f32(clean.fill_and_fix_with_median(fx.prices(spark, sf), PM, FIX))
+    return f32(clean.fill_and_fix_with_median(fx.stored_prices(spark, sf), PM, FIX))
 
 
 @register("cl3_negatives_to_median_two_pass",
@@ -62,7 +62,7 @@ def cl3_negative_fixed_prices_to_median(spark, sf):
                                               for c in FIX) + " FROM prices, m", ("prices",))
 def cl3_negatives_to_median_two_pass(spark, sf):
     """CL3 alone, on data that was not median-filled: its own median pass."""
-    p = fx.prices(spark, sf).select("id", "price_date", *FIX)
+    p = fx.stored_prices(spark, sf).select("id", "price_date", *FIX)
     return f32(clean.negatives_to_median(p, FIX))
 
 

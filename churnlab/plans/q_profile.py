@@ -64,7 +64,7 @@ def in3_info_cust_churn(spark, sf):
     f"CAST(quantile_cont({c}, 0.75) AS FLOAT) AS p75, CAST(max({c}) AS FLOAT) AS max FROM prices"
     for i, c in enumerate(PM)), ("prices",))
 def in5_describe_prices(spark, sf):
-    return f32(profile.describe(fx.prices(spark, sf), PM))
+    return f32(profile.describe(fx.stored_prices(spark, sf), PM))
 
 
 @register("in5_describe_cust_churn", _union(
@@ -140,7 +140,7 @@ def in10_duplicated_price_rows(spark, sf):
 @register("ag9_median_prices",
           "SELECT " + ", ".join(f"round(median({c}), 6) AS {c}" for c in PM) + " FROM prices", ("prices",))
 def ag9_median_prices(spark, sf):
-    return rnd(profile.medians(fx.prices(spark, sf), PM))
+    return rnd(profile.medians(fx.stored_prices(spark, sf), PM))
 
 
 _DATES = ["date_modif_prod", "date_end", "date_renewal"]
