@@ -87,3 +87,17 @@ def test_fits_that_memory_does_not_hold_wait(spark, monkeypatch):
     model.grid_search(df, ["x"], {k: [v] for k, v in params.items()}, parallelism=4)
     assert together == [1, 1]
     assert aucs.count() == 3
+
+
+def test_a_task_of_a_fit_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(model, "ROWS_PER_TASK", 50)
+    df = spark.createDataFrame([(i, i % 2, float(i % 2 + i % 5)) for i in range(600)], "id int, churn int, x double").coalesce(1)
+    assert model.in_small_partitions(df, 40).rdd.getNumPartitions() == 1
+    dealt = model.in_small_partitions(df, 600)
+    assert dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 100
+    assert sorted(dealt.collect()) == sorted(df.collect())
+    seen, deal = [], model.in_small_partitions
+    monkeypatch.setattr(model, "in_small_partitions", lambda df, rows: seen.append(rows) or deal(df, rows))
+    fitted = model.fit(df, ["x"], {"learning_rate": 0.1, "max_depth": 2, "n_estimators": 1})
+    assert seen == [600]
+    assert model.predict(fitted, df).count() == 600
