@@ -101,3 +101,35 @@ def test_a_task_of_a_fit_holds_a_bounded_number_of_rows(spark, monkeypatch):
     fitted = model.fit(df, ["x"], {"learning_rate": 0.1, "max_depth": 2, "n_estimators": 1})
     assert seen == [600]
     assert model.predict(fitted, df).count() == 600
+
+
+def test_fits_over_folds_read_their_files_and_shuffle_no_row(spark, monkeypatch):
+    monkeypatch.setattr(model, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(model, "ROWS_PER_FILE", 10, raising=False)
+    fitted, gbt = [], model.gbt
+
+    class Fits:
+        def __init__(self, est):
+            self.est = est
+
+        def fit(self, data):
+            plan = data._jdf.queryExecution().executedPlan().toString()
+            sizes = [r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect()]
+            fitted.append(("Exchange" in plan, max(sizes), sum(sizes), "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan))
+            return self.est.fit(data)
+
+    monkeypatch.setattr(model, "gbt", lambda *a, **k: Fits(gbt(*a, **k)))
+    # rows without a fold train every model of a validation and none of a search; whole rows repeat
+    rows = [(i % 500, i % 2, float(i % 2 + i % 5), None if i % 100 == 0 else i // 2 % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, churn int, x double, fold int").coalesce(1)
+    params = {"learning_rate": 0.1, "max_depth": 2, "n_estimators": 1}
+    aucs, roc, _ = model.cross_validate(df, ["x"], params)
+    table, _ = model.grid_search(df, ["x"], {k: [v] for k, v in params.items()})
+    assert not any(shuffled for shuffled, *_ in fitted)
+    assert all(most <= 70 for _, most, *_ in fitted)
+    of = [sum(r[3] == f for r in rows) for f in range(3)]
+    assert sorted(n for _, _, n, _ in fitted[:3]) == sorted(600 - n for n in of)
+    assert sorted(n for _, _, n, _ in fitted[3:]) == sorted(594 - n for n in of)
+    assert len(fitted) == 6 and all(pruned for *_, pruned in fitted)
+    assert aucs.count() == 3 and table.count() == 1
+    assert {f.name: f.dataType.simpleString() for f in roc.schema}["fold"] == "int"
