@@ -69,3 +69,26 @@ def test_fits_of_a_small_table_have_few_tasks(spark, monkeypatch):
                                "id int, churn int, x double, fold int").repartition(4)
     table, _ = model.grid_search(df, ["x"], {"max_depth": [2], "n_estimators": [1]})
     assert parts == [(1, 160)] * 3 and table.count() == 1
+
+
+def test_a_fit_reads_stored_features_and_shuffles_no_row(spark, monkeypatch):
+    monkeypatch.setattr(model, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(model, "ROWS_PER_FILE", 10)
+    fitted, deal = [], model.in_small_partitions
+
+    def dealt(df, rows):
+        out = deal(df, rows)
+        fitted.append((out.columns, rows, "Exchange" in out._jdf.queryExecution().executedPlan().toString(),
+                       [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()],
+                       all("/fit_features-" in f for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(model, "in_small_partitions", dealt)
+    # one large split; keys and whole rows repeat
+    df = spark.createDataFrame([(i % 500, i % 2, float(i % 2 + i % 5)) for i in range(600)], "id int, churn int, x double").coalesce(1)
+    m = model.fit(df, ["x"], {"learning_rate": 0.1, "max_depth": 2, "n_estimators": 2})
+    (columns, rows, shuffled, sizes, stored), = fitted
+    assert columns == ["churn", model.WEIGHT, "features"] and rows == 600 and stored
+    assert not shuffled and sum(sizes) == 600 and max(sizes) <= 70
+    scored = model.predict(m, df, ["id", "churn"])
+    assert scored.count() == 600 and scored.where("p_churn < 0 or p_churn > 1").count() == 0
