@@ -92,3 +92,25 @@ def test_a_fit_reads_stored_features_and_shuffles_no_row(spark, monkeypatch):
     assert not shuffled and sum(sizes) == 600 and max(sizes) <= 70
     scored = model.predict(m, df, ["id", "churn"])
     assert scored.count() == 600 and scored.where("p_churn < 0 or p_churn > 1").count() == 0
+
+
+def test_report_stores_the_validations_rows_once(spark, monkeypatch):
+    import datetime
+
+    from churnlab.operators import splits
+    from churnlab.plans import flows
+    names, store = [], model._store_for_fits
+    monkeypatch.setattr(model, "_store_for_fits", lambda df, fold_col, name, *a: names.append(name) or store(df, fold_col, name, *a))
+    # keys repeat
+    rows = [(i % 80, datetime.date(2000, 1, 1 + i % 9), i % 80 % 2, float(i % 80 % 2 + i % 5), float(i % 7)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, price_date date, churn int, x1 double, x2 double")
+    base = {"learning_rate": 0.1, "max_depth": 2, "n_estimators": 1}
+    for weight, want in ((1, ["cv_features", "search_features"]), (2, ["cv_features", "search_features", "cv_features"])):
+        names.clear()
+        out = flows.model_report(df, {**base, "scale_pos_weight": weight}, {k: [v] for k, v in base.items()})
+        assert names == want and out["cv_fold_auc"].count() == out["best_fold_auc"].count() == 3
+    folded = splits.stratified_folds(df, "churn", ["id", "price_date"], 3)
+    other, deeper = {**base, "n_estimators": 2}, {**base, "max_depth": 3}
+    stored = model.store_folds(folded, ["x1", "x2"], other)
+    shared, alone = (sorted(map(tuple, model.cross_validate(folded, ["x1", "x2"], deeper, stored=s)[0].collect())) for s in (stored, None))
+    assert shared == alone and len(shared) == 3
